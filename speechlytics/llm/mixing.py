@@ -24,6 +24,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3.0
 #: Hash ranges in which the documents of one (source, length) are counted.
 RANGES = 256
+#: Rules (one for each source and length) that are broadcast at most, about 60 bytes each; beyond, the join shuffles.
+BROADCAST_RULES = 1 << 18
 #: Words that the dynamic programme is left with, besides twice the longest length in play.
 TABLE = 1 << 12
 
@@ -99,41 +101,68 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(passes=passes, extra=extra)[["_key", "size", "n", "passes", "extra"]]
 
 
-def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size, source_size, target, taken (words taken, repeats counted) for every row of ``docs``.
-
-    Null texts and texts without words have size 0 and take nothing; a null source is a source of its own, the last.
-    Rows equal in all columns are told apart by their place in the written narrow table only. Empty table: no rows.
-    One row per source goes to the driver (there the targets are shared out); documents never do.
-    """
-    # Sources are keyed so that null sorts last and equals itself in joins.
-    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
+def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with _key (a source as text, null last and equal to itself), size, and the seeded hash as _range and _draw."""
     draw = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_or_empty(text_col)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), key.alias("_key"), words(text_or_empty(text_col)).alias("size"), draw.alias("_draw"), F.monotonically_increasing_id().alias("_row"))
-    rows = materialize(rows, "sizes").withColumn("_range", F.pmod(F.col("_draw"), F.lit(RANGES)).cast("int")).withColumn("_draw", F.shiftright("_draw", 8))
-    spark = docs.sparkSession
+    key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
+    return docs.withColumns({"_key": key, "_size": words(text_or_empty(text_col)), "_range": F.pmod(draw, F.lit(RANGES)).cast("int"), "_draw": F.shiftright(draw, 8)})
+
 
-    by_length = rows.groupBy("_key", "size").agg(F.count("*").alias("n"))
-    sources = sorted(by_length.groupBy("_key").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect(), key=lambda r: r["_key"].encode("utf-32-be"))
+def rules(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (_key, _size, _range, _draw, _row): what holds for each source and length, and each source's size and target.
+
+    The rule: ``_passes`` over all its rows, and one more for the rows up to ``_last`` (or for ``_all``).
+    """
+    spark = rows.sparkSession
+    by_length = rows.groupBy("_key", "_size").agg(F.count("*").alias("n"))
+    # One row for each source: the targets depend on each other.
+    sources = sorted(by_length.groupBy("_key").agg(F.sum(F.col("_size") * F.col("n")).alias("s")).collect(), key=lambda r: r["_key"].encode("utf-32-be"))
     shares = targets([r["s"] for r in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))])
     shared = spark.createDataFrame([(r["_key"], int(r["s"]), float(t)) for r, t in zip(sources, shares, strict=True)], "_key string, source_size long, target double")
-    plan = by_length.join(shared, "_key").groupBy("_key").applyInPandas(_plan, "_key string, size long, n long, passes int, extra long")
-    plan = materialize(plan, "lengths")
+    plan = by_length.withColumnRenamed("_size", "size").join(shared, "_key").groupBy("_key").applyInPandas(_plan, "_key string, size long, n long, passes int, extra long")
+    plan = materialize(plan.withColumnRenamed("size", "_size"), "lengths")
 
     # The range of the hash in which a length's count is used up, and the last row taken there.
-    split = plan.where("extra > 0 and extra < n").select("_key", "size", "extra")
-    ranges = rows.groupBy("_key", "size", "_range").agg(F.count("*").alias("m"))
-    up_to = Window.partitionBy("_key", "size").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    edge = ranges.join(split, ["_key", "size"]).withColumn("_sum", F.sum("m").over(up_to)).where("_sum >= extra and _sum - m < extra")
-    edge = edge.select("_key", "size", "_range", (F.col("extra") - F.col("_sum") + F.col("m")).alias("_left"))
-    order = Window.partitionBy("_key", "size").orderBy("_draw", "_row")
-    last = rows.join(edge, ["_key", "size", "_range"]).withColumn("_n", F.row_number().over(order)).where("_n = _left")
-    last = last.select("_key", "size", F.struct("_range", "_draw", "_row").alias("_last"))
-    rule = plan.select("_key", "size", "passes", (F.col("extra") == F.col("n")).alias("_all")).join(last, ["_key", "size"], "left")
-
-    chosen = F.when(F.col("_all") | (F.struct("_range", "_draw", "_row") <= F.col("_last")), 1).otherwise(0)
+    split = plan.where("extra > 0 and extra < n").select("_key", "_size", "extra")
+    ranges = rows.groupBy("_key", "_size", "_range").agg(F.count("*").alias("m"))
+    up_to = Window.partitionBy("_key", "_size").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    edge = ranges.join(split, ["_key", "_size"]).withColumn("_sum", F.sum("m").over(up_to)).where("_sum >= extra and _sum - m < extra")
+    edge = edge.select("_key", "_size", "_range", (F.col("extra") - F.col("_sum") + F.col("m")).alias("_left"))
+    order = Window.partitionBy("_key", "_size").orderBy("_draw", "_row")
+    last = rows.join(edge, ["_key", "_size", "_range"]).withColumn("_n", F.row_number().over(order)).where("_n = _left")
+    last = last.select("_key", "_size", F.struct("_range", "_draw", "_row").alias("_last"))
+    rule = plan.select("_key", "_size", F.col("passes").alias("_passes"), (F.col("extra") == F.col("n")).alias("_all")).join(last, ["_key", "_size"], "left")
+    return materialize(rule, "rules"), shared
+
+
+def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, source, size, source_size, target, taken (words taken, repeats counted) for every row of ``docs``.
+
+    Null texts and texts without words have size 0 and take nothing; a null source is a source of its own, the last.
+    Rows equal in id and text are told apart by their place in the written narrow table only. Empty table: no rows.
+    One row per source goes to the driver (there the targets are shared out); documents never do.
+    """
+    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    rows = _rows(named, seed, "_id", "_text", "_source").drop("_text").withColumn("_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "sizes")
+    rule, shared = rules(rows)
+    more = F.when(F.col("_all") | (F.struct("_range", "_draw", "_row") <= F.col("_last")), 1).otherwise(0)
     return (
-        rows.join(rule, ["_key", "size"])
+        rows.join(rule, ["_key", "_size"])
         .join(shared, "_key")
-        .select(F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size", "target", (F.col("size") * (F.col("passes") + chosen)).cast("long").alias("taken"))
+        .select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_passes") + more)).cast("long").alias("taken"))
     )
+
+
+def take(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken (0 to 3 times), columns as they are.
+
+    Rows equal in id and text are taken alike. Texts without words weigh nothing and stay once.
+    """
+    full = _rows(docs, seed, id_col, text_col, source_col)
+    rows = materialize(full.select("_key", "_size", "_range", "_draw", F.lit(0).alias("_row")), "sizes")
+    rule, _ = rules(rows)
+    rule = F.broadcast(rule) if rule.count() <= BROADCAST_RULES else rule
+    more = F.when(F.col("_all") | (F.struct("_range", "_draw") <= F.struct("_last._range", "_last._draw")), 1).otherwise(0)
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_passes") + more)
+    return full.join(rule, ["_key", "_size"]).withColumn("_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
