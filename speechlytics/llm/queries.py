@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -47,7 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_quality, op5_exact_dedup, op6_mixing, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op2_simhash, op3_lm_score, op4_quality, op5_exact_dedup, op6_mixing, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
