@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lm_score, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, pii, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_lm_score, op4_quality, op5_exact_dedup, op6_mixing, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op2_simhash, op3_lm_score, op4_quality, op5_exact_dedup, op6_mixing, op7_pii, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
