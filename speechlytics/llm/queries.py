@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, lm_score, mixing, pii, quality, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, lm_score, mixing, pii, quality, sharding, simhash, substring, toxicity
 from .common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_lm_score, op4_quality, op5_exact_dedup, op6_mixing, op7_pii, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_lm_score, op4_quality, op5_exact_dedup, op6_mixing, op7_pii, op8_sharding, op9_toxicity, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
