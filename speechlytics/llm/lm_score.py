@@ -35,6 +35,10 @@ HELD_TYPES = 400_000
 #: A word is scored in place if it makes up more than one in so many tokens.
 HEAD = 1 << 19
 _LN10 = math.log(10)
+#: Characters of the words whose lattices are summed together.
+BLOCK = 1 << 17
+#: The tries' roots; the bits of a character's code in a key, and a code beyond all characters.
+_START, _INNER, _CODE_BITS, _END = 0, 1, 21, 0x110000
 
 
 def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[bool], np.ndarray]:
@@ -63,16 +67,97 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[bool], np.ndarr
     return pieces, starts, -np.log(100.0 - np.array(scores))
 
 
+def blocks(words: list[str]) -> Iterator[list[str]]:
+    """The words in blocks of about BLOCK characters."""
+    start, held = 0, 0
+    for k, word in enumerate(words):
+        held += len(word) + 1
+        if held > BLOCK:
+            yield words[start : k + 1]
+            start, held = k + 1, 0
+    if start < len(words):
+        yield words[start:]
+
+
+class Arcs:
+    """The arcs of a block of words laid end to end, a word of n characters having n + 1 slots.
+
+    ``first``: (end, piece) of the start arcs; ``begin``, ``end``, ``piece``: the inner ones. A character that no piece
+    covers is an arc by its bytes: its piece is ``size`` plus its place in ``spelled``, which holds the byte pieces.
+    """
+
+    def __init__(self, lattice: Lattice, words: list[str]):
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.last = np.cumsum(sizes + 1) - 1
+        chars = np.frombuffer(" ".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars[self.last] = _END
+        starts = self.last - sizes
+        self.word = np.repeat(np.arange(len(words)), sizes + 1)
+        self.at = np.arange(len(chars)) - starts[self.word]
+
+        begin, end, piece = lattice.walk(_START, starts, chars)
+        self.first = np.concatenate((starts, end)), np.concatenate((np.full(len(starts), lattice.start[""]), piece))
+        inside = np.flatnonzero(chars != _END)
+        begin, end, piece = lattice.walk(_INNER, inside, chars)
+        covered = np.zeros(len(chars), bool)
+        covered[begin[end == begin + 1]] = True
+        bare = inside[~covered[inside]]
+        codes, which = np.unique(chars[bare], return_inverse=True)
+        self.spelled = [[lattice.inner[chr(0xDC00 + x)] for x in chr(c).encode("utf-8", "surrogatepass")] for c in codes.tolist()]
+        self.begin, self.end = np.concatenate((begin, bare)), np.concatenate((end, bare + 1))
+        self.piece = np.concatenate((piece, lattice.size + which))
+
+    def steps(self, slots: np.ndarray) -> list[np.ndarray]:
+        """The arcs by the place of their ``slots`` in the word. Those of one step begin, or end, in different slots."""
+        at = self.at[slots]
+        most = int(at.max(initial=-1))
+        order = np.argsort(at.astype(np.uint16) if most < 1 << 16 else at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(most + 2))
+        return [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def weigh(self, weights: np.ndarray) -> np.ndarray:
+        return np.concatenate((weights, [weights[ks].sum() for ks in self.spelled]))
+
+    def forward(self, weights: np.ndarray) -> np.ndarray:
+        """Of each slot, the log of the sum over the ways from the word's start. ``weights``: of ``weigh``."""
+        alpha = np.full(len(self.at), -np.inf)
+        alpha[self.first[0]] = weights[self.first[1]]
+        for arcs in self.steps(self.begin):
+            ends = self.end[arcs]
+            alpha[ends] = np.logaddexp(alpha[ends], alpha[self.begin[arcs]] + weights[self.piece[arcs]])
+        return alpha
+
+    def backward(self, weights: np.ndarray) -> np.ndarray:
+        """Of each slot, the log of the sum over the ways to the word's end."""
+        beta = np.full(len(self.at), -np.inf)
+        beta[self.last] = 0
+        for arcs in reversed(self.steps(self.end)):
+            begins = self.begin[arcs]
+            beta[begins] = np.logaddexp(beta[begins], beta[self.end[arcs]] + weights[self.piece[arcs]])
+        return beta
+
+
 class Lattice:
-    """Pieces with log weights; ``stop`` is the last of the inner ones."""
+    """Pieces with log weights; ``stop`` is the last of the inner ones. Two tries, of start and inner pieces, find arcs."""
 
     def __init__(self, pieces: list[str], starts: list[bool], weights: np.ndarray):
         self.start = {p: k for k, (p, s) in enumerate(zip(pieces, starts, strict=True)) if s}
         self.inner = {p: k for k, (p, s) in enumerate(zip(pieces, starts, strict=True)) if not s}
         self.stop, self.size = len(pieces), len(pieces) + 1
-        self.longest = max(map(len, pieces))
         self.is_start = np.append(np.array(starts), False)
         self.weights = self.normalised(np.append(np.exp(weights), np.exp(weights[~np.array(starts)]).sum() / 3))
+        children, held = {}, {}
+        for root, own in ((_START, self.start), (_INNER, self.inner)):
+            for piece, k in own.items():
+                node = root
+                for c in piece:
+                    node = children.setdefault(node << _CODE_BITS | ord(c), len(children) + 2)
+                if piece:
+                    held[node] = k
+        self.keys = np.array(sorted(children), np.int64)
+        self.child = np.array([children[k] for k in self.keys.tolist()], np.int64)
+        self.held = np.full(len(children) + 2, -1, np.int64)
+        self.held[list(held)] = list(held.values())
 
     @classmethod
     def of(cls, state: dict) -> Lattice:
@@ -81,60 +166,53 @@ class Lattice:
         out.__dict__.update(state)
         return out
 
-    def normalised(self, counts: np.ndarray) -> list[float]:
+    def normalised(self, counts: np.ndarray) -> np.ndarray:
         """Log weights: start pieces sum to one, inner ones and the stop too."""
         counts = counts + 0.01
         total = np.where(self.is_start, counts[self.is_start].sum(), counts[~self.is_start].sum())
-        return np.log(counts / total).tolist()
-
-    def arcs(self, word: str) -> tuple[list, list]:
-        """Start arcs (end, piece) and inner arcs (begin, end, pieces); a character no piece covers goes by its bytes."""
-        n, longest, start, inner = len(word), self.longest, self.start, self.inner
-        first = [(j, (start[p],)) for j in range(min(n, longest) + 1) if (p := word[:j]) in start]
-        rest = []
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (p := word[i:j]) in inner:
-                    rest.append((i, j, (inner[p],)))
-            if word[i] not in inner:
-                rest.append((i, i + 1, tuple(inner[chr(0xDC00 + b)] for b in word[i].encode("utf-8", "surrogatepass"))))
-        return first, rest
-
-    def forward(self, first: list, rest: list, n: int) -> list[float]:
-        weights, exp, log1p = self.weights, math.exp, math.log1p
-        alpha = [-math.inf] * (n + 1)
-        for j, (k,) in first:
-            alpha[j] = weights[k]
-        for i, j, ks in rest:  # by begin, so alpha[i] is final
-            a = alpha[i] + (weights[ks[0]] if len(ks) == 1 else sum(weights[k] for k in ks))
-            b = alpha[j]
-            alpha[j] = a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b)) if b > -math.inf else a
-        return alpha
+        return np.log(counts / total)
+
+    def walk(self, root: int, begin: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, piece) of every piece that lies in ``chars`` from one of ``begin`` on: all go down the trie together."""
+        node, at, found = np.full(len(begin), root), begin, ([], [], [])
+        while len(at):
+            key = node << _CODE_BITS | chars[at]
+            where = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            go = self.keys[where] == key
+            node, begin, at = self.child[where[go]], begin[go], at[go] + 1
+            piece = self.held[node]
+            for out, x in zip(found, (begin, at, piece), strict=True):
+                out.append(x[piece >= 0])
+        return tuple(np.concatenate([np.empty(0, np.int64), *x]) for x in found)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Of each word, the natural log of the sum over all segmentations."""
+        out = [np.empty(0)]
+        for block in blocks(words):
+            arcs = Arcs(self, block)
+            out.append(arcs.forward(arcs.weigh(self.weights))[arcs.last] + self.weights[self.stop])
+        return np.concatenate(out)
 
     def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations."""
-        return self.forward(*self.arcs(word), len(word))[-1] + self.weights[self.stop]
-
-    def expect(self, word: str, counts: list[float]) -> None:
-        """Adds the expected uses of each piece in one occurrence of ``word``."""
-        n, weights, exp = len(word), self.weights, math.exp
-        first, rest = self.arcs(word)
-        alpha = self.forward(first, rest, n)
-        beta, total = [-math.inf] * n + [0.0], alpha[n]
-        for i, j, ks in reversed(rest):
-            if beta[j] == -math.inf:
-                continue
-            arc = sum(weights[k] for k in ks) + beta[j]
-            if alpha[i] > -math.inf:
-                share = exp(alpha[i] + arc - total)
-                for k in ks:
-                    counts[k] += share
-            b = beta[i]
-            beta[i] = arc + math.log1p(exp(b - arc)) if arc > b else b + math.log1p(exp(arc - b))
-        for j, (k,) in first:
-            if beta[j] > -math.inf:
-                counts[k] += exp(weights[k] + beta[j] - total)
-        counts[self.stop] += 1
+        return float(self.log_probabilities([word])[0])
+
+    def expect(self, words: list[str]) -> np.ndarray:
+        """The expected uses of each piece in one occurrence of each word."""
+        counts = np.zeros(self.size)
+        for block in blocks(words):
+            arcs = Arcs(self, block)
+            weights = arcs.weigh(self.weights)
+            alpha, beta = arcs.forward(weights), arcs.backward(weights)
+            total = alpha[arcs.last]
+            inner = np.exp(alpha[arcs.begin] + weights[arcs.piece] + beta[arcs.end] - total[arcs.word[arcs.begin]])
+            uses = np.bincount(arcs.piece, inner, minlength=len(weights))
+            ends, pieces = arcs.first
+            uses += np.bincount(pieces, np.exp(weights[pieces] + beta[ends] - total[arcs.word[ends]]), minlength=len(weights))
+            for ks, n in zip(arcs.spelled, uses[self.size :].tolist(), strict=True):
+                np.add.at(counts, ks, n)
+            counts += uses[: self.size]
+            counts[self.stop] += len(block)
+        return counts
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,12 +241,11 @@ def fit(types: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
 
         def expectations(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = Lattice.of(sent.value)
-            counts = [0.0] * own.size
+            counts = np.zeros(own.size)
             for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    own.expect(word.decode("utf-8", "replace"), counts)
-            used = [k for k, v in enumerate(counts) if v]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([counts[k] for k in used], pa.float64())], ["piece", "v"])
+                counts += own.expect([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
+            used = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["piece", "v"])
 
         got = types.where("c > 0").select("word").mapInArrow(expectations, "piece int, v double").groupBy("piece").agg(F.sum("v").alias("v")).collect()
         counts = np.zeros(lattice.size)
@@ -203,7 +280,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice.of(lattice.value)
         for batch in batches:
-            low = rest + np.array([own.log_probability(w.decode("utf-8", "replace")) for w in batch.column(0).to_pylist()])
+            low = rest + own.log_probabilities([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
             c = batch.column(1).to_numpy(zero_copy_only=False)
             high = np.log(np.maximum(np.maximum(c - discount, 0) / max(1, tokens), 1e-300))
             lp = np.where(c > 0, np.logaddexp(high, low), low) / _LN10
