@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,11 +25,14 @@ from .common import materialize, small_batches
 KEY = b"speechlytics"
 #: Entities drawn again that are broadcast at most (about 60 bytes each); beyond, they are joined to their documents.
 BROADCAST_AGAIN = 1 << 17
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: The zeros of all scripts; their digits follow in order, as \\d finds them.
+_ZEROS = [k for k in range(sys.maxunicode + 1) if unicodedata.decimal(chr(k), -1) == 0]
+_UPTO = lambda a, b: "[" + "".join(f"{chr(z + a)}-{chr(z + b)}" for z in _ZEROS) + "]"
+_OCTET = rf"(?:{_UPTO(2, 2)}{_UPTO(5, 5)}{_UPTO(0, 5)}|{_UPTO(2, 2)}{_UPTO(0, 4)}\d|{_UPTO(1, 1)}?\d?\d)"
 _TITLES = r"Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señora?|श्री|श्रीमती|सुश्री"
 _PATTERN = re.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
-    |(?<![\w.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\w]|\.\d)
+    |(?<![\w.])(?=\d)(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\w]|\.\d)
     |(?<![\w+])(?P<phone>\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ ]?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?!\w)
     |(?<![\w-])(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![\w-])
     |(?<![\w-])(?P<iban>[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{3,7}}(?:[ ]?[A-Z0-9]{{1,3}})?)(?!\w)
@@ -37,7 +42,8 @@ _PATTERN = re.compile(
     |(?<!\w)(?:{_TITLES})\.?[ ](?P<person>[^\W\d_a-zß-ÿ][^\W\d_]+(?:[ ][A-ZÀ-Þ][^\W\d_]+)?|[\u0900-\u097f]{{2,}})""",
     re.VERBOSE,
 )
-_WORTH = re.compile(rf"[0-9@]|(?:{_TITLES})[. ]|(?i:token|secret|passw|key)")
+#: What any match of the pattern holds.
+_WORTH = re.compile(rf"[\d@]|(?:{_TITLES})[. ]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}")
 _HEX = re.compile("[0-9a-f]+")
 #: Letters change within their class: lower-case vowels and consonants of Latin, marked Latin, Cyrillic, Greek, Devanagari consonants.
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåéèêëíìîïóòôöõúùûü", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x915, 0x93A)))]
@@ -52,12 +58,22 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     return [(m.lastgroup, *m.span(m.lastgroup)) for m in _PATTERN.finditer(text)]
 
 
+def _ascii(text: str) -> str:
+    """Digits of any script as 0 to 9."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
+def _script(digit: str, like: str) -> str:
+    """The digit 0 to 9 in the script of ``like``, if that is a digit."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(digit)) if like.isdecimal() and digit.isdecimal() else digit
+
+
 def canonical(kind: str, mention: str) -> str:
-    """What two mentions of one entity share: digits of numbers, lower case of names and addresses."""
+    """What two mentions of one entity share: digits of numbers (in any script), lower case of names and addresses."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in mention if "0" <= c <= "9")
+        return "".join(c for c in _ascii(mention) if c.isdecimal())
     if kind == "iban":
-        return mention.replace(" ", "")
+        return _ascii(mention.replace(" ", ""))
     if kind == "ip":
         return ".".join(str(int(x)) for x in mention.split("."))
     return mention if kind in ("secret", "hex") or len(mention.lower()) != len(mention) else mention.lower()
@@ -102,6 +118,8 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
             alphabets.append((k, "0123456789abcdef"))
         elif kind in ("secret", "iban", "hex") and c.isascii() and c.isalpha():
             alphabets.append((k, _FREE if c.islower() else _FREE.upper()))
+        elif c.isdecimal():
+            alphabets.append((k, "".join(_script(d, c) for d in "0123456789")))
         elif c in _CLASS:
             alphabets.append((k, _CLASSES[_CLASS[c]]))
         elif c.lower() in _CLASS and len(c.lower()) == 1:
@@ -124,12 +142,14 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
 
 
 def render(kind: str, mention: str, new: str) -> str:
-    """The surrogate in the mention's format: its separators and its case."""
-    if kind == "ip" or len(mention) == len(new) and kind in ("secret", "hex"):
+    """The surrogate in the mention's format: its separators, its case and its digits' script."""
+    if kind in ("secret", "hex"):
         return new
+    if kind == "ip":
+        return ".".join("".join(_script(d, old[0]) for d in octet) for old, octet in zip(mention.split("."), new.split("."), strict=True))
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(new)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(_script(next(rest), c) if c.isalnum() else c for c in mention)
     return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for c, n in zip(mention, new, strict=True))
 
 

@@ -300,3 +300,14 @@ def test_pii(spark, empty):
     assert pii._luhn("".join(c for c in got[1].entities[3].surrogate if c.isdigit())[:-1]) == got[1].entities[3].surrogate[-1]
     assert len({pii.surrogate("ssn", f"{k:04d}") for k in range(10_000)}) == 10_000
     assert pii.replace(empty).count() == 0
+
+
+def test_pii_digits_of_any_script(spark):
+    rows = [(1, "+९१ ९८७६५ ४३२१०"), (2, "श्री 1 +९१ ९८७६५ ४३२१०"), (3, "+91 98765 43210"), (4, "१९२.१६८.१.१"), (5, "٤١١١ ١١١١ ١١١١ ١١١١"), (6, "१२३-४५-६७८९"), (7, "abcdefab" * 4)]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [[e.kind for e in got[k].entities] for k in range(1, 8)] == [["phone"], ["phone"], ["phone"], ["ip"], ["card"], ["ssn"], ["hex"]]
+    new = {k: got[k].entities[0].surrogate for k in got}
+    assert all(new[k] not in t for k, t in rows)
+    assert new[1] == new[2] and pii.canonical("phone", new[1]) == pii.canonical("phone", new[3])
+    assert all("०" <= c <= "९" or c in "+ .-" for k in (1, 4, 6) for c in new[k]) and all("٠" <= c <= "٩" or c == " " for c in new[5])
+    assert all(pii.find(x) == [("ip", 0, len(x))] for x in ("२५५.१.२.३", "255.249.19.9")) and not pii.find("२५६.१.२.३")
