@@ -5,7 +5,8 @@ letters, each staying in its class), so that equal entities get equal surrogates
 meet. Separators, case, script, an e-mail's top-level domain, a phone number's first digit, a card number's check digit,
 and the last letter of a name (which carries gender in many languages, as its title does) stay consistent. What the
 permutation can't rule out, a surrogate that some other text holds as its original, or that two shapes share, is looked
-for over all entities; the losers are drawn again until there are none.
+for over all entities; the losers are drawn again until there are none. A shape that is mostly in use has no room for
+that: from the WIDEN-th draw on, the surrogate has a letter or digit more, and another one every few draws.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import materialize, small_batches
 KEY = b"speechlytics"
 #: Entities drawn again that are broadcast at most (about 60 bytes each); beyond, they are joined to their documents.
 BROADCAST_AGAIN = 1 << 17
+#: Draws before a surrogate gets longer, and draws until it does so again.
+WIDEN, WIDEN_AGAIN = 8, 4
 #: The zeros of all scripts; their digits follow in order, as \\d finds them.
 _ZEROS = [k for k in range(sys.maxunicode + 1) if unicodedata.decimal(chr(k), -1) == 0]
 _UPTO = lambda a, b: "[" + "".join(f"{chr(z + a)}-{chr(z + b)}" for z in _ZEROS) + "]"
@@ -96,8 +99,13 @@ def _luhn(digits: str) -> str:
     return str(-total % 10)
 
 
+def _room(kind: str, text: str, checked: bool = False) -> int:
+    """Where a longer surrogate has its further letters: before what stays at the end."""
+    return text.rindex("@") if kind == "email" else len(text) - (kind == "person" or checked)
+
+
 def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """Of a canonical entity: another of the same shape."""
+    """Of a canonical entity: another of the same shape, or from the WIDEN-th attempt on of a longer one (but for IPs)."""
     tweak = f"{kind}|{attempt}|".encode()
     if kind == "ip":
         a, b, c, d = map(int, entity.split("."))
@@ -125,13 +133,18 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         elif c.lower() in _CLASS and len(c.lower()) == 1:
             alphabets.append((k, _CLASSES[_CLASS[c.lower()]].upper()))
     alphabets = [(k, a) for k, a in alphabets if entity[k] in a]
+    # The shape goes into the key: strings of one shape permute among themselves.
+    shape = "".join("\0" if k in dict(alphabets) else c for k, c in enumerate(entity))
+    if attempt >= WIDEN:
+        more, at = 1 + (attempt - WIDEN) // WIDEN_AGAIN, _room(kind, entity, checked)
+        wide = "0123456789" if kind in ("phone", "card", "ssn", "iban") else max((a for _, a in alphabets), key=len, default=_FREE)
+        entity = entity[:at] + wide[0] * more + entity[at:]
+        alphabets = sorted([(k + more * (k >= at), a) for k, a in alphabets] + [(at + k, wide) for k in range(more)])
     half, sizes = len(alphabets) // 2, [1, 1]
     value = 0
     for i, (k, a) in enumerate(alphabets):
         value = value * len(a) + a.index(entity[k])
         sizes[i >= half] *= len(a)
-    # The shape goes into the key: strings of one shape permute among themselves.
-    shape = "".join("\0" if k in dict(alphabets) else c for k, c in enumerate(entity))
     value = _feistel(value, *sizes, tweak + shape.encode("utf-8", "surrogatepass"), key)
     out = list(entity)
     for k, a in reversed(alphabets):
@@ -149,7 +162,10 @@ def render(kind: str, mention: str, new: str) -> str:
         return ".".join("".join(_script(d, old[0]) for d in octet) for old, octet in zip(mention.split("."), new.split("."), strict=True))
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(new)
-        return "".join(_script(next(rest), c) if c.isalnum() else c for c in mention)
+        same = "".join(_script(next(rest), c) if c.isalnum() else c for c in mention)
+        return same + "".join(_script(c, mention[-1]) for c in rest)
+    at = _room(kind, mention)
+    mention = mention[:at] + mention[at] * (len(new) - len(mention)) + mention[at:]
     return "".join(n.upper() if c != c.lower() and len(n.upper()) == 1 else n for c, n in zip(mention, new, strict=True))
 
 
@@ -174,7 +190,10 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, attempt) of the entities that need another draw: distinctness over all distinct (kind, entity)."""
+    """(kind, entity, attempt) of the entities that need another draw: distinctness over all distinct (kind, entity).
+
+    It ends when there are no losers: longer surrogates leave ever more room (an IP has 2**32 values and stays as long).
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +209,7 @@ def attempts(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         losers = materialize(twice.union(real).distinct(), "losers")
         if losers.isEmpty():
             return drawn.where("attempt > 0").select("kind", "entity", "attempt")
-        # A shape with nothing to change, or used up, can't be drawn anew for ever.
         state = drawn.join(losers.withColumn("lost", F.lit(1)), ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.coalesce("lost", F.lit(0))).alias("attempt"))
-        if not drawn.where("attempt >= 40").isEmpty():
-            return state.where("attempt > 0")
 
 
 def replace(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

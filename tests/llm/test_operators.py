@@ -311,3 +311,19 @@ def test_pii_digits_of_any_script(spark):
     assert new[1] == new[2] and pii.canonical("phone", new[1]) == pii.canonical("phone", new[3])
     assert all("०" <= c <= "९" or c in "+ .-" for k in (1, 4, 6) for c in new[k]) and all("٠" <= c <= "٩" or c == " " for c in new[5])
     assert all(pii.find(x) == [("ip", 0, len(x))] for x in ("२५५.१.२.३", "255.249.19.9")) and not pii.find("२५६.१.२.३")
+
+
+def test_pii_used_up_shapes(spark):
+    """More names than half of what their shape holds, and in one case all of it."""
+    consonants = "bcdfghjklmnpqrstvwxyz"
+    names = [f"{a}{b}m" for a in consonants for b in "aeiou"][:60] + [f"{a}g" for a in consonants]
+    entities = [("person", n) for n in names] + [("email", f"{a}@b.de") for a in "aeiou"] + [("phone", f"1{k:04d}") for k in range(6000)]
+    again = {(r.kind, r.entity): r.attempt for r in pii.attempts(spark.createDataFrame(entities, "kind string, entity string")).collect()}
+    new = {(k, e): pii.surrogate(k, e, again.get((k, e), 0)) for k, e in entities}
+    assert len({(k, s) for (k, _), s in new.items()}) == len(entities)
+    assert not {(k, s) for (k, _), s in new.items()} & set(entities)
+    assert pii.render("person", "Kim", "bolam") == "Bolam" and pii.render("email", "A@b.de", "efg@c.de") == "Efg@c.de"
+    assert pii.render("phone", "+1 22 33", "198765") == "+1 98 765"
+    for kind, text in (("card", "4111111111111111"), ("iban", "DE44500105175407324931"), ("secret", "a-b-c-d-"), ("hex", "0" * 32), ("ip", "1.2.3.4")):
+        assert len(pii.surrogate(kind, text, pii.WIDEN)) == len(text) + 1 or kind == "ip"
+    assert pii._luhn(pii.surrogate("card", "4111111111111111", 13)[:-1]) == pii.surrogate("card", "4111111111111111", 13)[-1]
