@@ -3,7 +3,8 @@
 A surrogate is a keyed permutation of the strings with the entity's shape (a Feistel network over its digits and
 letters, each staying in its class), so that equal entities get equal surrogates and different ones of a shape can't
 meet. Separators, case, script, an e-mail's top-level domain, a phone number's first digit, a card number's check digit,
-and the last letter of a name (which carries gender in many languages, as its title does) stay consistent. What the
+and the last letter of a name (which carries gender in many languages, as its title does; not in Chinese, Japanese and
+Korean ones) stay consistent. What the
 permutation can't rule out, a surrogate that some other text holds as its original, or that two shapes share, is looked
 for over all entities; the losers are drawn again until there are none. A shape that is mostly in use has no room for
 that: from the WIDEN-th draw on, the surrogate has a letter or digit more, and another one every few draws.
@@ -28,11 +29,21 @@ KEY = b"speechlytics"
 BROADCAST_AGAIN = 1 << 17
 #: Draws before a surrogate gets longer, and draws until it does so again.
 WIDEN, WIDEN_AGAIN = 8, 4
+
+
+def _runs(codes: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of each unbroken run in sorted numbers."""
+    ends = [k for k, (a, b) in enumerate(zip(codes, [*codes[1:], -1], strict=True)) if b != a + 1]
+    return [(codes[a], codes[b]) for a, b in zip([0, *(k + 1 for k in ends)], ends, strict=False)]
+
+
 #: The zeros of all scripts; their digits follow in order, as \\d finds them.
 _ZEROS = [k for k in range(sys.maxunicode + 1) if unicodedata.decimal(chr(k), -1) == 0]
 _UPTO = lambda a, b: "[" + "".join(f"{chr(z + a)}-{chr(z + b)}" for z in _ZEROS) + "]"
 _OCTET = rf"(?:{_UPTO(2, 2)}{_UPTO(5, 5)}{_UPTO(0, 5)}|{_UPTO(2, 2)}{_UPTO(0, 4)}\d|{_UPTO(1, 1)}?\d?\d)"
-_TITLES = r"Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señora?|श्री|श्रीमती|सुश्री"
+_TITLES = r"Mr|Mrs|Ms|Miss|Dr|Herr|Frau|Monsieur|Madame|Señora?|Señorita|M(?=\.)|Mme|Mlle|Sra?|Srta|श्री|श्रीमती|सुश्री"
+#: Combining marks (vowel signs, among others) and joiners, which names hold besides letters.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in _runs([k for k in range(sys.maxunicode + 1) if unicodedata.category(chr(k))[0] == "M"])) + "\u200c\u200d"
 _PATTERN = re.compile(
     rf"""(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
     |(?<![\w.])(?=\d)(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\w]|\.\d)
@@ -42,16 +53,20 @@ _PATTERN = re.compile(
     |(?<![\w-])(?P<card>\d(?:[ -]?\d){{12,18}})(?![\w-])
     |(?i:\b(?:token|secret|password|passwd|api_?key|access_?key)\b\s*[=:]\s*["']?)(?P<secret>[^\s"']{{8,}})
     |(?<!\w)(?P<hex>[0-9a-f]{{32,}}|[0-9A-F]{{32,}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_\w{{36,}})(?!\w)
-    |(?<!\w)(?:{_TITLES})\.?[ ](?P<person>[^\W\d_a-zß-ÿ][^\W\d_]+(?:[ ][A-ZÀ-Þ][^\W\d_]+)?|[\u0900-\u097f]{{2,}})""",
+    |(?<!\w)(?:{_TITLES})\.?[ ](?P<person>[^\W\d_a-zß-ÿ](?:[^\W\d_]|[{_MARKS}])+(?:[ ][A-ZÀ-Þ](?:[^\W\d_]|[{_MARKS}])+)?|[\u0900-\u097f]{{2,}})""",
     re.VERBOSE,
 )
 #: What any match of the pattern holds.
 _WORTH = re.compile(rf"[\d@]|(?:{_TITLES})[. ]|(?i:token|secret|passw|key)|AKIA|gh[pousr]_|[a-f]{{32}}|[A-F]{{32}}")
 _HEX = re.compile("[0-9a-f]+")
 #: Letters change within their class: lower-case vowels and consonants of Latin, marked Latin, Cyrillic, Greek, Devanagari consonants.
+#: All other letters change within their script and category.
 _CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåéèêëíìîïóòôöõúùûü", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x915, 0x93A)))]
 _CLASS = {c: k for k, cs in enumerate(_CLASSES) for c in cs}
 _FREE = "abcdefghijklmnopqrstuvwxyz"
+#: Signs of a secret that has nothing else to change.
+_SIGNS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_POOLS: dict[tuple, str] = {}
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
@@ -71,6 +86,24 @@ def _script(digit: str, like: str) -> str:
     return chr(ord(like) - unicodedata.decimal(like) + int(digit)) if like.isdecimal() and digit.isdecimal() else digit
 
 
+def _family(c: str) -> tuple:
+    """A letter's script and category, within its row of the code table (Chinese and Korean: all of the block)."""
+    block = next((b for b in ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3)) if b[0] <= ord(c) <= b[1]), (ord(c) & ~127, ord(c) | 127))
+    # Letters that case folding would merge with others have a family of their own.
+    return unicodedata.name(c, "").split(" ")[0].split("-")[0], unicodedata.category(c), c.upper().lower() == c or c.lower().upper() == c, block
+
+
+def _pool(c: str) -> str:
+    """The letters that a letter outside of _CLASSES can change into, itself among them."""
+    family = _family(c)
+    if family not in _POOLS:
+        first, last = family[-1]
+        own = [x for x in map(chr, range(first, last + 1)) if x.isalpha() and x not in _CLASS and x.lower() not in _CLASS and _family(x) == family]
+        _POOLS[family] = "".join(own)
+    # A letter with no other of its kind changes into a Latin one; the check over all entities keeps that distinct.
+    return _POOLS[family] if len(_POOLS[family]) > 1 else c + _FREE
+
+
 def canonical(kind: str, mention: str) -> str:
     """What two mentions of one entity share: digits of numbers (in any script), lower case of names and addresses."""
     if kind in ("phone", "card", "ssn"):
@@ -111,7 +144,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         a, b, c, d = map(int, entity.split("."))
         v = _feistel(a << 24 | b << 16 | c << 8 | d, 1 << 16, 1 << 16, tweak, key)
         return ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
-    keep = {0} if kind == "phone" else {0, 1} if kind == "iban" else {len(entity) - 1} if kind == "person" else set()
+    keep = {0} if kind == "phone" else {0, 1} if kind == "iban" else {len(entity) - 1} if kind == "person" and entity[-1] < "\u3040" else set()
     if kind == "email":
         keep = set(range(entity.rindex("."), len(entity)))
     checked = kind == "card" and _luhn(entity[:-1]) == entity[-1]
@@ -132,7 +165,11 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
             alphabets.append((k, _CLASSES[_CLASS[c]]))
         elif c.lower() in _CLASS and len(c.lower()) == 1:
             alphabets.append((k, _CLASSES[_CLASS[c.lower()]].upper()))
+        elif c.isalpha():
+            alphabets.append((k, _pool(c)))
     alphabets = [(k, a) for k, a in alphabets if entity[k] in a]
+    if kind == "secret" and not alphabets:
+        alphabets = [(k, _SIGNS) for k, c in enumerate(entity) if c in _SIGNS]
     # The shape goes into the key: strings of one shape permute among themselves.
     shape = "".join("\0" if k in dict(alphabets) else c for k, c in enumerate(entity))
     if attempt >= WIDEN:
@@ -216,7 +253,7 @@ def replace(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col:
     """id, text, entities (kind, start, end, surrogate) for every row of ``docs``.
 
     Null texts stay null, texts without entities as they are, both with an empty list; equal entities get equal
-    surrogates in all rows, repeated rows equal texts. A one-letter or empty shape with nothing to change stays.
+    surrogates in all rows, repeated rows equal texts. Vowel signs and other marks stay.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     entities = materialize(docs.select(F.col(text_col).alias("_text")).mapInArrow(_entities, "kind string, entity string").distinct(), "entities")

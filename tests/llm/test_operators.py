@@ -327,3 +327,19 @@ def test_pii_used_up_shapes(spark):
     for kind, text in (("card", "4111111111111111"), ("iban", "DE44500105175407324931"), ("secret", "a-b-c-d-"), ("hex", "0" * 32), ("ip", "1.2.3.4")):
         assert len(pii.surrogate(kind, text, pii.WIDEN)) == len(text) + 1 or kind == "ip"
     assert pii._luhn(pii.surrogate("card", "4111111111111111", 13)[:-1]) == pii.surrogate("card", "4111111111111111", 13)[-1]
+
+
+def test_pii_names_of_any_script(spark):
+    names = ["王伟", "محمد", "יוסף", "สมชาย", "김민준", "தமிழன்", "অমিত", "रमेश", "अमित", "Γεώργιος", "Ђорђе", "Գևորգ", "Åsa", "İbrahim", "Nguyễn", "ªªª"]
+    rows = [(k, f"Dr {n}, 5") for k, n in enumerate(names)] + [(50, "password: !#$%&*!#")]
+    rows += [(60 + k, f"{t} Dupont.") for k, t in enumerate(("M.", "Mme", "Mlle", "Sr.", "Sra.", "Srta.", "Señorita"))]
+    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, n in enumerate(names):
+        (e,) = got[k].entities
+        assert e.kind == "person" and got[k].text == f"Dr {e.surrogate}, 5" and e.surrogate != n and len(e.surrogate) >= len(n)
+    assert got[0].entities[0].surrogate[-1] != "伟"
+    assert got[50].entities[0].surrogate != "!#$%&*!#"
+    assert len({got[k].entities[0].surrogate for k in range(60, 67)}) == 1 and "Dupont" not in got[60].text
+    attempts = {r.entity: r.attempt for r in pii.attempts(spark.createDataFrame([("person", n.lower()) for n in names[:9]], "kind string, entity string")).collect()}
+    assert max(attempts.values(), default=0) < pii.WIDEN
+    assert len({pii.surrogate("person", f"{chr(c)}伟") for c in range(0x4E00, 0x9FFF)}) == 0x9FFF - 0x4E00
