@@ -1,13 +1,15 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and items are compared as lower-cased words without edge punctuation. An item of m words may differ by e = m // 5
+Texts and items are compared as lower-cased words without edge punctuation; of scripts that are written without spaces,
+every character is a word. An item of m words may differ by e = m // 5
 word edits (a similarity of 0.8). Split into e + 1 pieces, any passage within the budget holds one piece unchanged: an
 Aho-Corasick automaton finds every exact piece hit, and Myers' bit-parallel distance (words as symbols, start and end
-free) verifies the words around it. Nothing within the budget can be missed.
+free) verifies the words around it. Nothing within the budget can be missed. Items of under five words have no edits and are looked for as they are.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,15 +20,20 @@ from .common import small_batches
 
 #: Word edits allowed: one in so many words of the item.
 WORDS_PER_EDIT = 5
-#: Shorter items aren't looked for: they occur by chance.
-LEAST_WORDS = 5
 #: Benchmark items that are searched for in one pass over the documents, and their text in UTF-8 at most.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Chinese and Japanese: no spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u2fdf\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+#: Their punctuation, which parts words of any script in such a text.
+_SIGNS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u2018-\u201f\u2026\u0f0b-\u0f14\u104a-\u104f\u17d4-\u17da]")
 
 
 def words(text: str | None) -> list[str]:
-    return [s for w in (text or "").lower().split() if (s := w.strip(_EDGES))]
+    text = (text or "").lower()
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", _SIGNS.sub(" ", text))
+    return [s for w in text.split() if (s := w.strip(_EDGES))]
 
 
 def pieces(item: list[str]) -> list[tuple[int, list[str]]]:
@@ -60,7 +67,7 @@ def finder(items: list[tuple[int, str | None]]) -> Callable[[str | None], list[t
     """A function text -> (item, edits, first word, end word) of each item's best passage within its budget."""
     import ahocorasick
 
-    split = [(k, w) for k, t in items if len(w := words(t)) >= LEAST_WORDS]
+    split = [(k, w) for k, t in items if (w := words(t))]
     found: dict[str, list[tuple[int, int]]] = {}
     for at, (_, item) in enumerate(split):
         for offset, piece in pieces(item):
@@ -99,6 +106,8 @@ def finder(items: list[tuple[int, str | None]]) -> Callable[[str | None], list[t
                     upto = begin + len(pattern) + budget
                     merged.append([max(0, begin - budget), upto])
             for a, b in merged:
+                if best and not best[0]:
+                    break
                 window = own[a:b]
                 edits, end = myers(pattern, window)
                 if edits <= budget and (best is None or edits < best[0]):
@@ -124,7 +133,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id, edits, first_word, end_word: each document's best passage for each item within the budget.
 
-    Null and empty texts, and items of under five words, match nothing; repeated rows each give their rows; null ids
+    Null texts, and texts and items without words, match nothing; items of under five words match where they occur as
+    they are. Repeated rows each give their rows; null ids
     stay null. A benchmark beyond a block's bound takes a pass over the documents for each block.
     """
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

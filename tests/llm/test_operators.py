@@ -287,6 +287,15 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0
 
 
+def test_decontaminate_short_and_unspaced_items(spark, empty):
+    bench = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "Paris"), (3, "大型语言模型的训练数据需要去除基准测试。"), (4, "ความรู้พื้นฐาน"), (5, "..."), (6, "日本")], "item_id long, text string")
+    rows = [(1, "he asked who wrote faust, once"), (2, "who has written faust"), (3, "in paris, paris"), (4, "parisian"), (5, "据说，大型语言模型的训练数椐需要去除、基准测试等"), (6, "大型语言"), (7, "มีความรู้พื้นฐานดี"), (8, "東京と日本と"), (9, "... !"), (10, None)]
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.matches(found, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits, r.first_word, r.end_word) for r in got) == [(1, 1, 0, 2, 5), (3, 2, 0, 1, 2), (5, 3, 1, 2, 21), (7, 4, 0, 2, 16), (8, 6, 0, 3, 5)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(found, bench).collect()) == [2, 4, 6, 9, 10]
+
+
 def test_pii(spark, empty):
     text = "mail Ann.Lee@site.org or ann.lee@site.org, +1 (523) 555-7040, 4111 1111 1111 1111, 45.1.2.3, token = \"49ab8b03847754d938118ecf003181de\", Mrs. Maria Lopez"
     rows = [(1, text), (2, "again ann.lee@site.org"), (3, None), (4, "nothing 12 here")]
