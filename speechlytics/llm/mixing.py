@@ -3,7 +3,7 @@
 Documents are counted by (source, exact length in words). Of each source the mix takes every document ``floor(target /
 size)`` times, and spends the rest of the budget on one more pass over some documents: every length gives its share,
 and a bounded-knapsack dynamic programme over the lengths that are left meets the remaining words exactly where a
-subset does. Which documents of a length are taken follows from a seeded hash.
+subset does, or else as near as one gets from either side. Which documents of a length are taken follows from a seeded hash.
 """
 
 from __future__ import annotations
@@ -51,22 +51,27 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
     return out
 
 
-def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take, at most ``counts``, so that the sum is ``budget``, or else as near as it gets from below.
+def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int, over: int = 0) -> np.ndarray:
+    """How many of each size to take, at most ``counts``, so that the sum is ``budget``, or else as near as it gets.
+
+    From below, or also from above by ``over`` at most; of two as near, the one from below.
 
     Bounded knapsack over a bit set: counts are split into powers of two, the sets of reachable sums are kept item by
     item and walked back. It stops as soon as the budget is reached.
     """
-    take, items, reach, seen, mask = np.zeros(len(sizes), np.int64), [], 1, [1], (1 << (budget + 1)) - 1
+    take, items, reach, seen, mask = np.zeros(len(sizes), np.int64), [], 1, [1], (1 << (budget + over + 1)) - 1
     for k in np.argsort(-sizes, kind="stable"):
-        size, left, step = int(sizes[k]), int(min(counts[k], budget // max(1, int(sizes[k])))), 1
+        size, left, step = int(sizes[k]), int(min(counts[k], (budget + over) // max(1, int(sizes[k])))), 1
         while size and left and not reach >> budget & 1:
             n = min(step, left)
             reach |= (reach << (n * size)) & mask
             items.append((k, n))
             seen.append(reach)
             left, step = left - n, step * 2
-    at = reach.bit_length() - 1
+    at, above = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1, reach >> (budget + 1)
+    more = (above & -above).bit_length()  # the least sum above the budget exceeds it by so much; 0: none
+    if more and more < budget - at:
+        at = budget + more
     for (k, n), before in zip(reversed(items), reversed(seen[:-1]), strict=True):
         if not before >> at & 1:
             take[k] += n
@@ -87,9 +92,14 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             n = min(int(counts[k] - take[k]), (rest - TABLE - size) // size)
             take[k] += n
             rest -= n * size
-    usable = (sizes > 0) & (sizes <= rest)
-    take[usable] += subset_sum(sizes[usable], (counts - take)[usable], rest)
-    return take
+    more, short = np.zeros_like(take), 0
+    for _ in range(2):  # from below; then also from above, if that may be nearer
+        usable = (sizes > 0) & (sizes <= rest + short)
+        more[usable] = subset_sum(sizes[usable], (counts - take)[usable], rest, short)
+        short = rest - int((sizes * more).sum()) - 1
+        if short < 1:
+            break
+    return take + more
 
 
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:

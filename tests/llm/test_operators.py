@@ -217,6 +217,18 @@ def test_subset_sum():
         assert (got <= counts).all() and (got * sizes).sum() == best
 
 
+def test_fit_from_either_side():
+    assert mixing.fit(np.array([20_000]), np.array([1]), 19_999).tolist() == [1]
+    assert mixing.fit(np.array([20_000]), np.array([1]), 10_000).tolist() == [0]
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = np.array(sorted(rng.sample(range(5, 60), 5)))
+        counts, budget = np.ones(5, np.int64), rng.randrange(int(sizes.sum()))
+        got = mixing.fit(sizes, counts, budget)
+        best = min(abs(sum(p) - budget) for p in itertools.product(*((0, int(s)) for s in sizes)))
+        assert (got <= counts).all() and abs((got * sizes).sum() - budget) == best
+
+
 def test_mix(docs, empty):
     got = mixing.mix(docs).collect()
     by = defaultdict(list)
