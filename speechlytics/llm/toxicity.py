@@ -21,7 +21,7 @@ from .labelled import fold, sample
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE = 8_000
+SAMPLE = 12_000
 THRESHOLD = 0.5
 HASHED = 1 << 17
 #: Features of a word: itself, and its first so many bytes.

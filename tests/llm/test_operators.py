@@ -190,6 +190,12 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
 
 
+def test_toxicity_sample(spark):
+    docs = spark.range(15_500).selectExpr("id AS doc_id", "'a b.' AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    assert toxicity.sample(docs, labels, "toxic", toxicity.SAMPLE, toxicity.FOLDS, toxicity.HELD_OUT).count() == 12_000
+
+
 def test_quality(spark, empty):
     docs, labels, truth = labelled(spark)
     got = quality.score(docs, quality.train(docs, labels)).collect()
