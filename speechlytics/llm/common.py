@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list = []
+#: Bytes of an Arrow batch while tables are written here: what a Python stage and the JVM each hold a few times.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH[0])
+    spark.conf.set(*_BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH[0], before)
     if not _WRITTEN:
         atexit.register(_clean)
     _WRITTEN.append((spark, path))
