@@ -314,24 +314,55 @@ def test_decontaminate_short_and_unspaced_items(spark, empty):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(found, bench).collect()) == [2, 4, 6, 9, 10]
 
 
+KEY = b"key of the tests"
+
+
+def replaced(spark, rows):
+    return {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+
+
 def test_pii(spark, empty):
     text = "mail Ann.Lee@site.org or ann.lee@site.org, +1 (523) 555-7040, 4111 1111 1111 1111, 45.1.2.3, token = \"49ab8b03847754d938118ecf003181de\", Mrs. Maria Lopez"
-    rows = [(1, text), (2, "again ann.lee@site.org"), (3, None), (4, "nothing 12 here")]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rows = [(1, text), (2, "again ann.lee@site.org"), (3, None), (4, "nothing 12 here"), (1, text), (5, "word " * 250_000 + "ann.lee@site.org")]
+    got = replaced(spark, rows)
     new = got[1].text
-    assert not any(x in new for x in ("Lee", "lee@", "5557040", "555-7040", "4111", "45.1.2.3", "49ab8b", "Maria"))
-    assert [e.kind for e in got[1].entities] == ["email", "email", "phone", "card", "ip", "secret", "person"]
+    assert not any(x in new for x in ("Lee", "lee@", "5557040", "555-7040", "4111 1111", "45.1.2.3", "49ab8b", "Maria", "Lopez"))
+    assert [e.kind for e in got[1].entities] == ["email", "email", "phone", "card", "ip", "secret", "given_f", "surname"]
     assert all(new[e.start : e.end] == e.surrogate for e in got[1].entities)
-    assert got[1].entities[0].surrogate.lower() == got[1].entities[1].surrogate == got[2].entities[0].surrogate
+    assert got[1].entities[0].surrogate.lower() == got[1].entities[1].surrogate == got[2].entities[0].surrogate == got[5].entities[0].surrogate
     assert got[3].text is None and got[4].text == "nothing 12 here"
+    assert got[5].text == "word " * 250_000 + got[2].entities[0].surrogate
     assert pii._luhn("".join(c for c in got[1].entities[3].surrogate if c.isdigit())[:-1]) == got[1].entities[3].surrogate[-1]
-    assert len({pii.surrogate("ssn", f"{k:04d}") for k in range(10_000)}) == 10_000
-    assert pii.replace(empty).count() == 0
+    assert len({pii.surrogate("ssn", f"{k:04d}", 0, KEY) for k in range(10_000)}) == 10_000
+    assert pii.replace(empty, KEY).count() == 0
+
+
+def test_pii_coreference_gender_and_titles(spark):
+    rows = [(1, "Mrs. Maria Lopez met Herr Anton Kern. Maria liked Kern, and Lopez left."), (2, "Frau Lopez, Mr. Aa Mr. Ea, M. Martin d'Or"), (3, "Marianne and Kernel stay")]
+    got = replaced(spark, rows)
+    new = {got[1].text.split()[k].strip(",.") for k in (2, 11)}
+    assert len(new) == 1 and got[1].text.split()[1].lower() in pii._GIVEN["LATIN"]["f"].split()
+    assert got[1].text.split()[5].lower() in pii._GIVEN["LATIN"]["m"].split()
+    assert got[1].text.split()[1] == got[1].text.split()[7]
+    assert got[2].text.split()[1].strip(",") == got[1].text.split()[2]
+    assert [e.kind for e in got[2].entities[:3]] == ["surname"] * 3 and "Mr. " in got[2].text[15:]
+    assert got[3].text == rows[2][1] and not got[3].entities
+
+
+def test_pii_keeps_types(spark):
+    assert pii.surrogate("phone", "+442079460958", 0, KEY)[:3] == "+44" and pii.surrogate("phone", "+35312345678", 0, KEY)[:4] == "+353"
+    for ip in ("10.0.0.1", "172.16.9.9", "192.168.0.4", "127.0.0.1", "8.8.8.8", "172.32.0.1"):
+        value = lambda x: int.from_bytes(bytes(map(int, x.split("."))))
+        assert pii._range(value(pii.surrogate("ip", ip, 0, KEY))) == pii._range(value(ip))
+    assert len({pii.surrogate("ip", f"192.168.{a}.{b}", 0, KEY) for a in range(40) for b in range(256)}) == 40 * 256
+    iban = pii.surrogate("iban", "DE89370400440532013000", 0, KEY)
+    assert iban[:2] == "DE" and iban[2:4] == pii._iban_check(iban) and iban != "DE89370400440532013000"
+    assert not pii.find("4111 1111 1111 1112") and pii.surrogate("card", "4111111111111111", 0, KEY)[0] == "4"
 
 
 def test_pii_digits_of_any_script(spark):
     rows = [(1, "+९१ ९८७६५ ४३२१०"), (2, "श्री 1 +९१ ९८७६५ ४३२१०"), (3, "+91 98765 43210"), (4, "१९२.१६८.१.१"), (5, "٤١١١ ١١١١ ١١١١ ١١١١"), (6, "१२३-४५-६७८९"), (7, "abcdefab" * 4)]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = replaced(spark, rows)
     assert [[e.kind for e in got[k].entities] for k in range(1, 8)] == [["phone"], ["phone"], ["phone"], ["ip"], ["card"], ["ssn"], ["hex"]]
     new = {k: got[k].entities[0].surrogate for k in got}
     assert all(new[k] not in t for k, t in rows)
@@ -340,33 +371,37 @@ def test_pii_digits_of_any_script(spark):
     assert all(pii.find(x) == [("ip", 0, len(x))] for x in ("२५५.१.२.३", "255.249.19.9")) and not pii.find("२५६.१.२.३")
 
 
-def test_pii_used_up_shapes(spark):
-    """More names than half of what their shape holds, and in one case all of it."""
+def test_pii_used_up_shapes(spark, monkeypatch):
+    """More names than the lists hold, and shapes that are all in use; whether the draws are broadcast or joined."""
     consonants = "bcdfghjklmnpqrstvwxyz"
-    names = [f"{a}{b}m" for a in consonants for b in "aeiou"][:60] + [f"{a}g" for a in consonants]
-    entities = [("person", n) for n in names] + [("email", f"{a}@b.de") for a in "aeiou"] + [("phone", f"1{k:04d}") for k in range(6000)]
-    again = {(r.kind, r.entity): r.attempt for r in pii.attempts(spark.createDataFrame(entities, "kind string, entity string")).collect()}
-    new = {(k, e): pii.surrogate(k, e, again.get((k, e), 0)) for k, e in entities}
+    names = [f"{a}{b}m" for a in consonants for b in "aeiou"]
+    entities = [("given_f", n) for n in names] + [("surname", n) for n in names] + [("email", f"{a}@b.de") for a in "aeiou"] + [("phone", f"1{k:04d}") for k in range(6000)]
+    again = {(r.kind, r.entity): r.attempt for r in pii.attempts(spark.createDataFrame(entities, "kind string, entity string"), KEY).collect()}
+    new = {(k, e): pii.surrogate(k, e, again.get((k, e), 0), KEY) for k, e in entities}
     assert len({(k, s) for (k, _), s in new.items()}) == len(entities)
     assert not {(k, s) for (k, _), s in new.items()} & set(entities)
-    assert pii.render("person", "Kim", "bolam") == "Bolam" and pii.render("email", "A@b.de", "efg@c.de") == "Efg@c.de"
-    assert pii.render("phone", "+1 22 33", "198765") == "+1 98 765"
+    assert pii.render("given_f", "KIM", "anna-olga") == "ANNA-OLGA" and pii.render("email", "A@b.de", "efg@c.de") == "Efg@c.de"
+    assert pii.render("phone", "+1 22 33", "+198765") == "+1 98 765"
     for kind, text in (("card", "4111111111111111"), ("iban", "DE44500105175407324931"), ("secret", "a-b-c-d-"), ("hex", "0" * 32), ("ip", "1.2.3.4")):
-        assert len(pii.surrogate(kind, text, pii.WIDEN)) == len(text) + 1 or kind == "ip"
-    assert pii._luhn(pii.surrogate("card", "4111111111111111", 13)[:-1]) == pii.surrogate("card", "4111111111111111", 13)[-1]
+        assert len(pii.surrogate(kind, text, pii.WIDEN, KEY)) == len(text) + 1 or kind == "ip"
+    assert pii._luhn(pii.surrogate("card", "4111111111111111", 13, KEY)[:-1]) == pii.surrogate("card", "4111111111111111", 13, KEY)[-1]
+    rows = [(k, f"Mrs {n.title()} Kern, a@b.de") for k, n in enumerate(names)]
+    found = replaced(spark, rows)
+    monkeypatch.setattr(pii, "BROADCAST_AGAIN", 0)
+    assert replaced(spark, rows) == found and len({r.entities[0].surrogate for r in found.values()}) == len(names)
 
 
 def test_pii_names_of_any_script(spark):
     names = ["王伟", "محمد", "יוסף", "สมชาย", "김민준", "தமிழன்", "অমিত", "रमेश", "अमित", "Γεώργιος", "Ђорђе", "Գևորգ", "Åsa", "İbrahim", "Nguyễn", "ªªª"]
     rows = [(k, f"Dr {n}, 5") for k, n in enumerate(names)] + [(50, "password: !#$%&*!#")]
     rows += [(60 + k, f"{t} Dupont.") for k, t in enumerate(("M.", "Mme", "Mlle", "Sr.", "Sra.", "Srta.", "Señorita"))]
-    got = {r.doc_id: r for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = replaced(spark, rows)
     for k, n in enumerate(names):
         (e,) = got[k].entities
-        assert e.kind == "person" and got[k].text == f"Dr {e.surrogate}, 5" and e.surrogate != n and len(e.surrogate) >= len(n)
+        assert e.kind == "surname" and got[k].text == f"Dr {e.surrogate}, 5" and e.surrogate != n
     assert got[0].entities[0].surrogate[-1] != "伟"
     assert got[50].entities[0].surrogate != "!#$%&*!#"
     assert len({got[k].entities[0].surrogate for k in range(60, 67)}) == 1 and "Dupont" not in got[60].text
-    attempts = {r.entity: r.attempt for r in pii.attempts(spark.createDataFrame([("person", n.lower()) for n in names[:9]], "kind string, entity string")).collect()}
+    attempts = {r.entity: r.attempt for r in pii.attempts(spark.createDataFrame([("surname", n.lower()) for n in names[:9]], "kind string, entity string"), KEY).collect()}
     assert max(attempts.values(), default=0) < pii.WIDEN
-    assert len({pii.surrogate("person", f"{chr(c)}伟") for c in range(0x4E00, 0x9FFF)}) == 0x9FFF - 0x4E00
+    assert len({pii.surrogate("surname", f"{chr(c)}伟", 0, KEY) for c in range(0x4E00, 0x9FFF)}) == 0x9FFF - 0x4E00
