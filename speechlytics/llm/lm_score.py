@@ -1,13 +1,16 @@
 """LM scoring by subword lattice likelihood.
 
 A word's probability sums over all its segmentations into pieces of an existing vocabulary, by a forward recursion in
-log space; a text's is the product over its words and one end. Pieces' weights start from the vocabulary's own scores
-and are fitted to the corpus by expectation maximisation over the word types of the training rows. A word that these
-rows hold is an arc of its own, with its discounted frequency; the discounted mass goes to the lattice.
+log space; a text's is the product over its words and one end. Pieces are weighted by the vocabulary's own scores, as a
+prior of PRIOR uses, and by their expected uses in the training rows, by expectation maximisation.
 
-    P(word) = max(c - d, 0) / N + d * T / N * P_lattice(word)        P(end) = c_end / N
+    P(word) = (1 - c_end / N) * P_lattice(word)        P(end) = c_end / N
 
-P_lattice is a proper distribution: a piece that starts a word, then inner pieces until a stop.
+P_lattice is a proper distribution: a piece that starts a word, then inner pieces until a stop. Beside it stands a second
+score in which a word of the training rows is an arc of its own, with its discounted frequency; the discounted mass goes
+to the lattice:
+
+    P(word) = max(c - d, 0) / N + d * T / N * P_lattice(word)
 
 Counts cover all rows. Words over N / 2**19 (so at most 2**19 of them) are scored where the text is; the rest are
 joined by word, none of them frequent enough to skew.
@@ -16,6 +19,7 @@ joined by word, none of them frequent enough to skew.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +34,14 @@ from .labelled import fold
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 5, 1
 ROUNDS = 2
+#: Uses of start pieces, and of inner ones, that the vocabulary's scores stand for when weights are fitted.
+PRIOR = 10_000.0
 #: Words counted in memory before they are handed on.
 HELD_TYPES = 400_000
 #: A word is scored in place if it makes up more than one in so many tokens.
 HEAD = 1 << 19
 _LN10 = math.log(10)
+_UPPER = re.compile("[A-Z]")
 #: Characters of the words whose lattices are summed together.
 BLOCK = 1 << 17
 #: The tries' roots; the bits of a character's code in a key, and a code beyond all characters.
@@ -58,7 +65,8 @@ def read_pieces(path: str = VOCABULARY) -> tuple[list[str], list[bool], np.ndarr
         elif piece.strip("▁") or piece == "▁":
             start = piece.startswith("▁")
             body = piece[1:] if start else piece
-            if body != body.lower() or "▁" in body or not body:
+            # Texts are lower-cased in A-Z alone.
+            if _UPPER.search(body) or "▁" in body or not body:
                 continue
             pieces.append(body)
             starts.append(start)
@@ -145,7 +153,10 @@ class Lattice:
         self.inner = {p: k for k, (p, s) in enumerate(zip(pieces, starts, strict=True)) if not s}
         self.stop, self.size = len(pieces), len(pieces) + 1
         self.is_start = np.append(np.array(starts), False)
+        self.prior = np.zeros(self.size)
         self.weights = self.normalised(np.append(np.exp(weights), np.exp(weights[~np.array(starts)]).sum() / 3))
+        # What the vocabulary's own scores count for beside the corpus, in expected uses.
+        self.prior = PRIOR * np.exp(self.weights)
         children, held = {}, {}
         for root, own in ((_START, self.start), (_INNER, self.inner)):
             for piece, k in own.items():
@@ -167,8 +178,8 @@ class Lattice:
         return out
 
     def normalised(self, counts: np.ndarray) -> np.ndarray:
-        """Log weights: start pieces sum to one, inner ones and the stop too."""
-        counts = counts + 0.01
+        """Log weights, of expected uses and the vocabulary's own scores: start pieces sum to one, inner ones and the stop too."""
+        counts = counts + self.prior + 1e-9
         total = np.where(self.is_start, counts[self.is_start].sum(), counts[~self.is_start].sum())
         return np.log(counts / total)
 
@@ -196,22 +207,23 @@ class Lattice:
     def log_probability(self, word: str) -> float:
         return float(self.log_probabilities([word])[0])
 
-    def expect(self, words: list[str]) -> np.ndarray:
-        """The expected uses of each piece in one occurrence of each word."""
-        counts = np.zeros(self.size)
+    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """The expected uses of each piece in so many occurrences of each word."""
+        counts, at = np.zeros(self.size), 0
         for block in blocks(words):
-            arcs = Arcs(self, block)
+            arcs, n = Arcs(self, block), times[at : at + len(block)].astype(np.float64)
+            at += len(block)
             weights = arcs.weigh(self.weights)
             alpha, beta = arcs.forward(weights), arcs.backward(weights)
             total = alpha[arcs.last]
             inner = np.exp(alpha[arcs.begin] + weights[arcs.piece] + beta[arcs.end] - total[arcs.word[arcs.begin]])
-            uses = np.bincount(arcs.piece, inner, minlength=len(weights))
+            uses = np.bincount(arcs.piece, inner * n[arcs.word[arcs.begin]], minlength=len(weights))
             ends, pieces = arcs.first
-            uses += np.bincount(pieces, np.exp(weights[pieces] + beta[ends] - total[arcs.word[ends]]), minlength=len(weights))
-            for ks, n in zip(arcs.spelled, uses[self.size :].tolist(), strict=True):
-                np.add.at(counts, ks, n)
+            uses += np.bincount(pieces, np.exp(weights[pieces] + beta[ends] - total[arcs.word[ends]]) * n[arcs.word[ends]], minlength=len(weights))
+            for ks, used in zip(arcs.spelled, uses[self.size :].tolist(), strict=True):
+                np.add.at(counts, ks, used)
             counts += uses[: self.size]
-            counts[self.stop] += len(block)
+            counts[self.stop] += n.sum()
         return counts
 
 
@@ -234,7 +246,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(types: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
-    """Expectation maximisation over the word types with c > 0, each counting once: the lattice serves rare and unseen words."""
+    """Expectation maximisation over the words of the training rows, by their counts, with the vocabulary's scores as prior."""
     spark = types.sparkSession
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(vars(lattice))
@@ -243,21 +255,22 @@ def fit(types: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
             own = Lattice.of(sent.value)
             counts = np.zeros(own.size)
             for batch in batches:
-                counts += own.expect([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
+                counts += own.expect([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False))
             used = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["piece", "v"])
 
-        got = types.where("c > 0").select("word").mapInArrow(expectations, "piece int, v double").groupBy("piece").agg(F.sum("v").alias("v")).collect()
+        got = types.where("c > 0").select("word", "c").mapInArrow(expectations, "piece int, v double").groupBy("piece").agg(F.sum("v").alias("v")).collect()
         counts = np.zeros(lattice.size)
         counts[[r["piece"] for r in got]] = [r["v"] for r in got]
         lattice.weights = lattice.normalised(counts)
     return lattice
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``; logs to base 10.
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, word_arcs: bool = False) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score, score_with_words for every row of ``docs``; logs to base 10.
 
-    Null and empty texts are one end token. Rows with a null id train. Repeated rows count and are scored each. Without
+    score is lattice_score, or with ``word_arcs`` score_with_words. Other columns of ``docs`` are ignored. Long texts are
+    scored whole; ties can't occur. Null and empty texts are one end token. Rows with a null id train. Repeated rows count and are scored each. Without
     training rows the base is uniform over its one unseen token, and the model is the lattice with half of the mass for ends.
     """
     spark: SparkSession = docs.sparkSession
@@ -273,6 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     distinct = known_types + (ends["c"] > 0)
     discount = of[3] / (of[3] + 2 * of[4]) if of[3] else 0.5
     rest = math.log(discount * known_types / tokens) if known_types else math.log(0.5)
+    inside = math.log1p(-ends["c"] / tokens) if known_types else math.log(0.5)
     unseen = -math.log10((tokens + 0.5 * (distinct + 1)) / 0.5)
 
     lattice = spark.sparkContext.broadcast(vars(fit(types, Lattice(*read_pieces(vocabulary)))))
@@ -280,30 +294,31 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lattice.of(lattice.value)
         for batch in batches:
-            low = rest + own.log_probabilities([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
+            sums = own.log_probabilities([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()])
+            low = rest + sums
             c = batch.column(1).to_numpy(zero_copy_only=False)
             high = np.log(np.maximum(np.maximum(c - discount, 0) / max(1, tokens), 1e-300))
-            lp = np.where(c > 0, np.logaddexp(high, low), low) / _LN10
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))), pa.array(lp)], [*batch.schema.names, "base", "lp"])
+            wp = np.where(c > 0, np.logaddexp(high, low), low) / _LN10
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))), pa.array((inside + sums) / _LN10), pa.array(wp)], [*batch.schema.names, "base", "lp", "wp"])
 
-    scored = materialize(types.mapInArrow(weigh, "word binary, c long, n long, base double, lp double"), "scored")
+    scored = materialize(types.mapInArrow(weigh, "word binary, c long, n long, base double, lp double, wp double"), "scored")
     # Fewer than HEAD words can each be over one in HEAD of all tokens.
-    head = spark.sparkContext.broadcast(scored.where(F.col("n") * HEAD > all_tokens).select("word", "c", "base", "lp").toPandas())
+    head = spark.sparkContext.broadcast(scored.where(F.col("n") * HEAD > all_tokens).select("word", "c", "base", "lp", "wp").toPandas())
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over its frequent words, and one for each other word in it."""
         at = {bytes(w): k for k, w in enumerate(head.value["word"])}
-        known, base, lp = ((head.value["c"] > 0).to_numpy(), head.value["base"].to_numpy(), head.value["lp"].to_numpy())
-        names = ["row", "_id", "held_out", "n_tokens", "word", "many", "n_known", "base", "lp"]
+        known, values = (head.value["c"] > 0).to_numpy(), head.value[["base", "lp", "wp"]].to_numpy()
+        names = ["row", "_id", "held_out", "n_tokens", "word", "many", "n_known", "base", "lp", "wp"]
         for batch in small_batches(batches, "_text"):
             rows, out = batch.column(0).to_pylist(), [[], [], []]
-            sums = np.zeros((batch.num_rows, 4))
+            sums = np.zeros((batch.num_rows, 5))
             for k, text in enumerate(batch.column(3).to_pylist()):
                 words = text.lower().split()
                 where = [at.get(w, -1) for w in words]
                 places = np.array(where, np.int64)
                 places = places[places >= 0]
-                sums[k] = len(words) + 1, known[places].sum(), base[places].sum(), lp[places].sum()
+                sums[k] = len(words) + 1, known[places].sum(), *values[places].sum(axis=0)
                 if len(places) < len(words):
                     for w, n in Counter(w for w, p in zip(words, where, strict=True) if p < 0).items():
                         out[0].append(rows[k])
@@ -311,19 +326,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
                         out[2].append(n)
             nothing = lambda n, kind: pa.nulls(n, kind)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums[:, 0].astype(np.int64)), nothing(n, pa.binary()), nothing(n, pa.int64()), pa.array(sums[:, 1].astype(np.int64)), pa.array(sums[:, 2]), pa.array(sums[:, 3])], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums[:, 0].astype(np.int64)), nothing(n, pa.binary()), nothing(n, pa.int64()), pa.array(sums[:, 1].astype(np.int64)), *(pa.array(sums[:, k]) for k in (2, 3, 4))], names)
             m = len(out[0])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), nothing(m, batch.schema.field(1).type), nothing(m, pa.bool_()), nothing(m, pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), nothing(m, pa.int64()), nothing(m, pa.float64()), nothing(m, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), nothing(m, batch.schema.field(1).type), nothing(m, pa.bool_()), nothing(m, pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64()), nothing(m, pa.int64()), *(nothing(m, pa.float64()) for _ in range(3))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     placed = named.select(F.monotonically_increasing_id().alias("row"), "_id", held.alias("held_out"), "_text")
-    placed = materialize(placed.mapInArrow(place, f"row long, _id {kind}, held_out boolean, n_tokens long, word binary, many long, n_known long, base double, lp double"), "placed")
-    tail = placed.where("word is not null").select("row", "word", "many").join(scored.select("word", "c", F.col("base").alias("b"), F.col("lp").alias("l")), "word")
-    tail = tail.select("row", F.when(F.col("c") > 0, F.col("many")).otherwise(0).alias("n_known"), (F.col("b") * F.col("many")).alias("base"), (F.col("l") * F.col("many")).alias("lp"))
-    summed = placed.where("word is null").select("row", "_id", "held_out", "n_tokens", "n_known", "base", "lp")
+    placed = materialize(placed.mapInArrow(place, f"row long, _id {kind}, held_out boolean, n_tokens long, word binary, many long, n_known long, base double, lp double, wp double"), "placed")
+    tail = placed.where("word is not null").select("row", "word", "many").join(scored.select("word", "c", F.col("base").alias("b"), F.col("lp").alias("l"), F.col("wp").alias("w")), "word")
+    tail = tail.select("row", F.when(F.col("c") > 0, F.col("many")).otherwise(0).alias("n_known"), (F.col("b") * F.col("many")).alias("base"), (F.col("l") * F.col("many")).alias("lp"), (F.col("w") * F.col("many")).alias("wp"))
+    summed = placed.where("word is null").select("row", "_id", "held_out", "n_tokens", "n_known", "base", "lp", "wp")
     none = {c: F.lit(None).cast(summed.schema[c].dataType) for c in ("_id", "held_out", "n_tokens")}
     both = summed.unionByName(tail.withColumns(none).select(*summed.columns))
     end_base = math.log10((ends["c"] + 0.5) / (tokens + 0.5 * (distinct + 1))) if ends["c"] else unseen
     end = math.log10(ends["c"] / tokens) if ends["c"] else math.log10(0.5)
-    result = both.groupBy("row").agg(F.max("_id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.sum("n_known") + int(ends["c"] > 0)).alias("n_known"), F.sum("base").alias("base"), F.sum("lp").alias("lp"))
-    return result.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("lp") + end).alias("score"))
+    result = both.groupBy("row").agg(F.max("_id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), (F.sum("n_known") + int(ends["c"] > 0)).alias("n_known"), F.sum("base").alias("base"), F.sum("lp").alias("lp"), F.sum("wp").alias("wp"))
+    return result.select(id_col, "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("wp" if word_arcs else "lp") + end).alias("score"), (F.col("lp") + end).alias("lattice_score"), (F.col("wp") + end).alias("score_with_words"))

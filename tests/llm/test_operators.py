@@ -160,9 +160,36 @@ def test_lm_score(docs, empty):
     exp = sorted((r.doc_id is None, r.doc_id or 0, len(t := [*(r.text or "").lower().split(), 0]), sum(counts[w] > 0 for w in t), round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for r in rows)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == exp
     assert all(r.train_tokens == n and r.held_out == held(r.doc_id) and -1e9 < r.score < 0 for r in got)
+    assert all(r.score == r.lattice_score for r in got)
     assert lm_score.score(empty).count() == 0
 
 
+def test_lm_score_by_brute_force(spark, monkeypatch):
+    """The score itself from the fitted lattice, with all words in place, in the join, and with word arcs."""
+    rows = [(k, " ".join(random.Random(k).choices(["alpha", "beta", "Éa", "zzq", "x"], k=20))) for k in range(40)] + [(99, "w " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = []
+    fit = lm_score.fit
+    monkeypatch.setattr(lm_score, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    got = {r.doc_id: r for r in lm_score.score(df).collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows}
+    counts = Counter(w for k, t in rows if not held[k] for w in t.encode().lower().decode().split())
+    ends = sum(not h for h in held.values())
+    n = sum(counts.values()) + ends
+    ones, twos = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = ones / (ones + 2 * twos) if ones else 0.5
+    for k, t in rows:
+        plain, arcs = math.log10(ends / n), math.log10(ends / n)
+        for w in t.encode().lower().decode().split():
+            p = math.exp(fitted[0].log_probability(w))
+            plain += math.log10(1 - ends / n) + math.log10(p)
+            arcs += math.log10(max(counts[w] - d, 0) / n + d * len(counts) / n * p)
+        assert got[k].score == pytest.approx(plain) and got[k].score_with_words == pytest.approx(arcs)
+    monkeypatch.setattr(lm_score, "HEAD", 0)  # no word is frequent: all go through the join
+    again = {r.doc_id: r for r in lm_score.score(df, word_arcs=True).collect()}
+    assert all(again[k].score == pytest.approx(got[k].score_with_words) and again[k].n_known == got[k].n_known for k in got)
+
+
 def labelled(spark, seed=5):
     rng, words = random.Random(seed), [f"w{k}" for k in range(200)]
     rows, marks = [], []
