@@ -17,9 +17,11 @@ _BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='speechlytics-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    The files go when the driver's Python ends, since lazy results may still read them.
+    The files go with ``discard``, or when the driver's Python ends, since lazy results may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -40,20 +42,47 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(_BATCH[0], before)
     if not _WRITTEN:
         atexit.register(_clean)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((out, spark, path))
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these, once no lazy result needs it."""
+    for df in frames:
+        path = next(p for k, _, p in _WRITTEN if k is df)
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [w for w in _WRITTEN if w[0] is not df]
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for _, spark, path in _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 
 
+#: A key is frequent if it has over FREQUENT rows and over one in 2 ** SHARE of all: at most 2 ** SHARE keys.
+FREQUENT, SHARE = 1 << 8, 14
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has a row for each key with its number of rows in column ``n`` (dropped).
+
+    Frequent keys are broadcast, at most 2 ** SHARE of them; the others are joined by hash.
+    """
+    much = max(FREQUENT, (keyed.agg(F.sum(n)).first()[0] or 0) >> SHARE)
+    many = F.broadcast(keyed.where(F.col(n) > much).drop(n))
+    rest = rows.join(many, on, "left_anti").join(keyed.where(F.col(n) <= much).drop(n), on)
+    return rest.unionByName(rows.join(many, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if not sums["n"] or sums == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         seen = sums
-        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
+        last, edges = edges, materialize(_star(_star(edges, large=True), large=False), "edges")
+        discard(last)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import discard, materialize, small_batches
 
 #: Word edits allowed: one in so many words of the item.
 WORDS_PER_EDIT = 5
@@ -120,19 +120,20 @@ def finder(items: list[tuple[int, str | None]]) -> Callable[[str | None], list[t
     return find
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of a bounded size: by a hash of the item, so that repeated items share a block."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[bool, Iterator[list[tuple[int, str | None]]]]:
+    """Whether there are several blocks, and the items in blocks of a bounded size: by a hash of the item, so that repeated items share a block."""
     rows = benchmark.select(F.col(item_col).alias("k"), F.col(text_col).alias("t"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // (BLOCK_ITEMS // 2)), -(-size // (BLOCK_BYTES // 2)))
-    for block in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block)
-        yield sorted(((r.k, r.t) for r in own.distinct().collect()), key=repr)
+    own = lambda block: rows.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).distinct().collect()
+    return blocks > 1, (sorted(((r.k, r.t) for r in own(block)), key=repr) for block in range(blocks))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, item_id, edits, first_word, end_word: each document's best passage for each item within the budget.
+    """id, item_id, edits, first_word, end_word: each document's best passage for each item within the budget, of equally good ones the first.
 
+    Places count words after pure punctuation is dropped. Other columns are ignored; texts of any length count whole;
+    an empty table gives no rows.
     Null texts, and texts and items without words, match nothing; items of under five words match where they occur as
     they are. Repeated rows each give their rows; null ids
     stay null. A benchmark beyond a block's bound takes a pass over the documents for each block.
@@ -151,14 +152,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
         return run
 
-    for block in _blocks(benchmark, item_col, item_text):
-        part = rows.mapInArrow(search(spark.sparkContext.broadcast(block)), schema)
+    several, blocks = _blocks(benchmark, item_col, item_text)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        part = rows.mapInArrow(search(sent), schema)
+        if several:  # one block is held at a time
+            part = materialize(part, "matches")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("_id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any match, in one pass for each block of the benchmark and with their columns as they are."""
+    """The rows of ``docs`` without any match, in one pass for each block of the benchmark and with their columns as they are, whatever their names.
+
+    Null texts and texts without words stay; repeated rows go or stay together.
+    """
     names = docs.columns
 
     def clean(block):
@@ -169,7 +178,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return run
 
-    out = docs
-    for block in _blocks(benchmark, item_col, item_text):
-        out = out.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    out, last = docs, None
+    several, blocks = _blocks(benchmark, item_col, item_text)
+    for block in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(clean(sent), docs.schema)
+        if several:
+            out = materialize(out, "clean")
+            sent.destroy()
+            if last is not None:
+                discard(last)
+            last = out
     return out

@@ -4,8 +4,9 @@
    (an owner holds one range of fingerprints). Copies inside a partition are sent once, with a bit that says so.
 2. Each owner merges its messages and answers each sender with a bitmap: bit i is set if the i-th fingerprint of that
    message is in doubt (also in another message, or several times in its own).
-3. Senders turn bitmaps into suspect fingerprints. Only rows with a suspect fingerprint are shuffled, with their whole
-   texts, and grouped by the bytes themselves; a shared fingerprint of different texts costs time, never a wrong merge.
+3. Senders turn bitmaps into suspect fingerprints. Only rows with a suspect fingerprint are shuffled: narrow, to be
+   grouped by fingerprint and SHA-256, and with their whole texts, to be verified byte by byte against one text of the
+   group, in parts of a bounded number of rows. A shared hash of different texts costs time, never a wrong merge.
 
 A message is about log2(range / n) + 2 bits a fingerprint. Owners get at most one entry for each text and sender, so a
 group of copies that holds a third of all rows is spread before anything meets.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import FREQUENT, SHARE, join_by_key, materialize, text_or_empty
 
 BITS = 48
 #: Fingerprints that one sender codes at once (8 MB).
@@ -124,15 +125,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id, same text): one is kept. A null id loses against any other; a group of null ids keeps one row, with a null
     keep_id. An empty table gives an empty result. Other columns of ``docs`` are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("fp", F.shiftrightunsigned(F.xxhash64("_text"), 64 - BITS))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.shiftrightunsigned(F.xxhash64(text), 64 - BITS).alias("fp"))
     doubt = suspects(rows)
     few = doubt.limit(BROADCAST_SUSPECTS + 1).count() <= BROADCAST_SUSPECTS
     doubt = F.broadcast(doubt) if few else doubt
     sha = F.sha2(F.encode("_text", "UTF-8"), 256).alias("text_sha256")
     alone = rows.join(doubt, "fp", "left_anti").select(F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    copies = rows.join(doubt, "fp", "left_semi").groupBy("fp", "_text", "_id").agg(F.count("*").alias("_n"))
-    groups = copies.groupBy("fp", "_text").agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"))
-    met = copies.join(groups.withColumnRenamed("_text", "_same").withColumnRenamed("fp", "_fp"), (F.col("fp") == F.col("_fp")) & (F.col("_text") == F.col("_same")))
-    each = met.select("_id", "keep_id", "group_size", sha, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i"))
+
+    # Groups come from narrow rows; every suspect's bytes are then held against one text of its group.
+    held = rows.join(doubt, "fp", "left_semi").select("_id", "_text", "fp", sha)
+    copies = materialize(held.groupBy("fp", "text_sha256", "_id").agg(F.count("*").alias("_n")), "copies")
+    key = ["fp", "text_sha256"]
+    groups = materialize(copies.groupBy(*key).agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.count("*").alias("_ids")), "groups")
+    # Frequent groups, at most 2 ** SHARE, are verified in salted parts.
+    much = max(FREQUENT, (groups.agg(F.sum("group_size")).first()[0] or 0) >> SHARE)
+    parts = F.broadcast(groups.where(F.col("group_size") > much).select(*key, F.ceil(F.col("group_size") / much).alias("_parts")))
+    salted = held.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    texts = held.groupBy(*key).agg(F.first("_text").alias("_same")).join(groups.where("group_size > 1").select(*key), key, "left_semi")
+    texts = texts.join(parts, key, "left").select(*key, "_same", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt"))
+    differ = materialize(salted.join(texts, [*key, "_salt"]).where("_text <> _same").select(*key).distinct(), "differ")
+    if not differ.isEmpty():  # texts that share both hashes: grouped by their bytes
+        exact = held.join(differ, key, "left_semi").groupBy("_text", *key, "_id").agg(F.count("*").alias("_n"))
+        # The text itself takes the place of its hash in the key.
+        named = lambda df: df.withColumn("fp", F.concat(F.col("fp").cast("string"), F.lit(" "), "_text")).drop("_text")
+        copies = copies.join(differ, key, "left_anti").withColumn("fp", F.col("fp").cast("string")).unionByName(named(exact))
+        groups = copies.groupBy(*key).agg(F.max("_id").alias("keep_id"), F.sum("_n").alias("group_size"), F.count("*").alias("_ids"))
+    met = join_by_key(copies, groups, key, "_ids")
+    each = met.select("_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_i"))
     together = each.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_i") == 1)).alias("kept"), "text_sha256")
     return alone.unionByName(together)

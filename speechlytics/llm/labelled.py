@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,12 +11,18 @@ def fold(folds: int, id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds, F.lit(-1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, held_out: int, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` with a 0/1 ``_label``: at most ``most`` labelled ids outside the held-out fold, those with the least hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, folds: int, held_out: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = 1 << 26, **columns: Column) -> DataFrame:
+    """(_id, the given columns of ``docs``, a 0/1 _label): at most ``most`` labelled ids outside the held-out fold, those with the least hash of the id.
 
-    Repeated labels count once, the larger wins; null labels and ids don't count. The narrow sample is bounded, so it is broadcast.
+    It ends where their texts reach ``most_bytes``. Repeated labels count once, the larger wins; null labels and ids
+    don't count. The narrow sample is bounded, so it is broadcast.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label is not null")
     known = known.where(fold(folds, "_id") != held_out).groupBy("_id").agg(F.max("_label").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).drop("_id")
+    sizes = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_col).alias("_size"))
+    sizes = sizes.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_size"))
+    # At most ``most`` narrow rows.
+    before = Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = sizes.withColumn("_before", F.sum("_size").over(before)).where(F.coalesce("_before", F.lit(0)) < most_bytes).select("_id", "_label")
+    return docs.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in columns.items())).join(F.broadcast(chosen), "_id")

@@ -111,11 +111,13 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.assign(passes=passes, extra=extra)[["_key", "size", "n", "passes", "extra"]]
 
 
-def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with _key (a source as text, null last and equal to itself), size, and the seeded hash as _range and _draw."""
-    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_or_empty(text_col)))
+def _rows(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, **keep: Column) -> DataFrame:
+    """The given columns of ``docs``, _key (a source as text, null last and equal to itself), size, and the seeded hash as _range and _draw."""
+    text = text_or_empty(text_col)
+    draw = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text))
     key = F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1"))
-    return docs.withColumns({"_key": key, "_size": words(text_or_empty(text_col)), "_range": F.pmod(draw, F.lit(RANGES)).cast("int"), "_draw": F.shiftright(draw, 8)})
+    parts = {"_key": key, "_size": words(text), "_range": F.pmod(draw, F.lit(RANGES)).cast("int"), "_draw": F.shiftright(draw, 8)}
+    return docs.select(*(c.alias(k) for k, c in (keep | parts).items()))
 
 
 def rules(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -145,34 +147,41 @@ def rules(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(rule, "rules"), shared
 
 
+def _broadcast(rule: DataFrame) -> DataFrame:
+    return F.broadcast(rule) if rule.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rule
+
+
 def mix(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size, source_size, target, taken (words taken, repeats counted) for every row of ``docs``.
+    """id, size, source_size, target, taken (words taken, repeats counted), source for every row of ``docs``.
 
     Null texts and texts without words have size 0 and take nothing; a null source is a source of its own, the last.
     Rows equal in id and text are told apart by their place in the written narrow table only. Empty table: no rows.
+    Texts of any length count whole; other columns are ignored.
     One row per source goes to the driver (there the targets are shared out); documents never do.
     """
-    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
-    rows = _rows(named, seed, "_id", "_text", "_source").drop("_text").withColumn("_row", F.monotonically_increasing_id())
-    rows = materialize(rows, "sizes")
+    rows = _rows(docs, seed, id_col, text_col, source_col, _id=F.col(id_col), _source=F.col(source_col))
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     rule, shared = rules(rows)
+    rule = _broadcast(rule)
     more = F.when(F.col("_all") | (F.struct("_range", "_draw", "_row") <= F.col("_last")), 1).otherwise(0)
     return (
         rows.join(rule, ["_key", "_size"])
         .join(shared, "_key")
-        .select(F.col("_id").alias(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_passes") + more)).cast("long").alias("taken"))
+        .select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * (F.col("_passes") + more)).cast("long").alias("taken"), F.col("_source").alias("source"))
     )
 
 
 def take(docs: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken (0 to 3 times), columns as they are.
 
-    Rows equal in id and text are taken alike. Texts without words weigh nothing and stay once.
+    Rows equal in id and text are taken alike. Texts without words weigh nothing and stay once. Columns may have any
+    names; an empty table stays empty.
     """
-    full = _rows(docs, seed, id_col, text_col, source_col)
-    rows = materialize(full.select("_key", "_size", "_range", "_draw", F.lit(0).alias("_row")), "sizes")
+    # The document travels as one column, so that its own column names can't clash.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    full = _rows(docs, seed, id_col, text_col, source_col, _doc=whole)
+    rows = materialize(_rows(docs, seed, id_col, text_col, source_col).withColumn("_row", F.lit(0)), "sizes")
     rule, _ = rules(rows)
-    rule = F.broadcast(rule) if rule.count() <= BROADCAST_RULES else rule
     more = F.when(F.col("_all") | (F.struct("_range", "_draw") <= F.struct("_last._range", "_last._draw")), 1).otherwise(0)
     times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_passes") + more)
-    return full.join(rule, ["_key", "_size"]).withColumn("_time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return full.join(_broadcast(rule), ["_key", "_size"]).select("_doc", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("_time")).select("_doc.*")

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8
@@ -114,9 +114,8 @@ class Machine:
         return self
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str, chars_col: str | None, *more: str) -> DataFrame:
-    n = F.col(chars_col).cast("long") if chars_col else F.length(text_col).cast("long")
-    return docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_text"), n.alias("_n"), *more)
+def _columns(text_col: str, chars_col: str | None) -> dict[str, Column]:
+    return {"_text": utf8(text_col), "_n": F.col(chars_col).cast("long") if chars_col else F.length(text_col).cast("long")}
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", label: str = "quality") -> Machine:
@@ -129,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
             packed = [x.astype("<u2").tobytes() for x in np.split(word, np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(list(stats)), batch.column(3)], ["words", "stats", "_label"])
 
-    rows = _rows(sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col), id_col, text_col, chars_col, "_label")
+    rows = sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col, text_col, **_columns(text_col, chars_col)).select("_id", "_text", "_n", "_label")
     got = rows.mapInArrow(run, "words binary, stats array<double>, _label int").toPandas()
     got = got.sort_values(["words", "_label"], kind="stable")  # the order of the rows mustn't matter
     words = [np.frombuffer(w, "<u2").astype(np.int64) for w in got["words"]]
@@ -140,7 +139,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """id, held_out, score, predicted for every row of ``docs``.
 
     Null texts count as empty and are scored by their statistics alone; a null length counts as 0. Repeated rows are
-    scored alike; a null id isn't held out.
+    scored alike; a null id isn't held out. Texts of any length count whole; other columns are ignored; an empty table
+    gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,5 +148,5 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(machine.predict(batch.column(1).to_pylist(), batch.column(2).to_pylist()))], ["_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = _rows(docs, id_col, text_col, chars_col).mapInArrow(run, f"_id {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("_id"), *(c.alias(k) for k, c in _columns(text_col, chars_col).items())).mapInArrow(run, f"_id {kind}, score double")
     return scored.select(F.col("_id").alias(id_col), (fold(FOLDS, "_id") == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, utf8
+from .common import join_by_key, materialize, small_batches, utf8
 from .components import components
 
 RADIUS = 3
@@ -135,16 +135,16 @@ def _links(radius: int):
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, first id of its texts, first id reachable) for every distinct ``fp`` of (_id, fp)."""
-    distinct = prints.groupBy("fp").agg(F.min("_id").alias("_first"))
+    """(fp, number of its rows, first id reachable) for every distinct ``fp`` of (_id, fp)."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")), "distinct")
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks(radius)))))
     keyed = distinct.select("fp", tables.alias("_t")).select("_t.t", "_t.key", "fp")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = keyed.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(_links(radius), "u long, v long")
     linked = components(links)
-    named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "_first", "_n", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("_first").alias("component_id"))
-    return named.join(least, "component").select("fp", "_first", "component_id")
+    return materialize(named.join(least, "component").select("fp", "_n", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,20 +152,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
     A-Z is lower-cased; words are runs without ASCII white space; fewer words than a shingle: the whole sequence; null,
     empty or blank texts: fingerprint zero, linked like any other. component_id is the smallest id reachable over links
-    (null ids don't count; null if there are only such). Repeated rows share all they have.
+    (null ids don't count; null if there are only such). Repeated rows share all they have. Other columns are ignored;
+    texts of any length count whole; an empty table gives no rows.
     """
     prints = fingerprints(docs, id_col, text_col)
-    found = classes(prints, radius).select("fp", "component_id")
-    return prints.join(found, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_by_key(prints, classes(prints, radius), ["fp"], "_n").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest; columns as they are.
 
-    Of repeated rows (same id and text) one stays. Rows with a null id are kept as they are: nothing names them.
+    Of repeated rows (same id and text) one stays. Rows with a null id are kept as they are: nothing names them. Other
+    columns may have any names; texts of any length count whole; an empty table stays empty.
     """
     prints = fingerprints(docs, id_col, text_col).where("_id is not null")
-    found = prints.join(classes(prints, radius).select("fp", "component_id"), "fp")
+    found = join_by_key(prints, classes(prints, radius), ["fp"], "_n")
     gone = materialize(found.where(F.col("_id") != F.col("component_id")).select(F.col("_id").alias(id_col)).distinct(), "gone")
     out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     twice = prints.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias(id_col))

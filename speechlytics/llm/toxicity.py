@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
             packed = [pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<u4").tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*packed, pa.array([len(f[2]) for f in found], pa.int32()), batch.column(1)], ["words", "sentence", "n", "_label"])
 
-    rows = sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col).select(utf8(text_col).alias("_text"), F.col("_label"), F.col(id_col).alias("_id"))
+    rows = sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col, text_col, _text=utf8(text_col))
     got = rows.select("_text", "_label").mapInArrow(bags, "words binary, sentence binary, n int, _label int").toPandas()
     got = got.sort_values(["n", "words", "_label"], kind="stable")  # the order of the rows mustn't matter
     # Views of what came, about 20 bytes a word: the driver holds nothing twice.
@@ -130,6 +130,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     offending: the sentences that are toxic by themselves (score 0.5 or more), by first word and number of words. Null
     and empty texts are one empty sentence and get the bias. Repeated rows are scored alike; a null id isn't held out.
+    Texts of any length count whole; other columns are ignored; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_text")).mapInArrow(_score(weights), _SCHEMA.format(kind))
@@ -137,7 +138,10 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, in one pass and with their columns as they are."""
+    """The rows of ``docs`` that score below the threshold, in one pass and with their columns as they are, whatever their names.
+
+    Null and empty texts stay, unless the bias alone is toxic. Repeated rows go or stay together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
