@@ -9,6 +9,7 @@ from . import lexicon
 from .text import let, tokenize
 
 _IDIOM = "|".join(f"(?:{p})" for p in lexicon.IDIOMS)
+_NUMBER = "|".join([*lexicon.number_words(), *lexicon.MULTIPLIERS])
 _STATE = "struct<out:array<string>,run:array<string>,total:bigint,cur:bigint,pos:int>"
 
 
@@ -29,28 +30,30 @@ def normalize_numbers(text: Column) -> Column:
     the total so far multiplies all of it with the small number, else the small number alone, which is added. A number word in an idiom's neighbourhood stays,
     unless a run has begun before it. Null gives null, text without words an empty string.
     """
-    return let(text, _folded)
+    # Most texts hold no number word, and of the others most hold no idiom.
+    plain = F.array_join(tokenize(text), " ")
+    return F.when(text.rlike(_NUMBER), let(F.struct(text.alias("t"), text.rlike(_IDIOM).alias("i")), lambda x: _folded(x["t"], x["i"]))).otherwise(plain)
 
 
-def _folded(text: Column) -> Column:
+def _folded(text: Column, idiom: Column) -> Column:
     small, multipliers, empty = _literal_map(lexicon.number_words()), _literal_map(lexicon.MULTIPLIERS), F.array().cast("array<string>")
 
     def step(s: Column, t: Column) -> Column:
         word, value, times = t["w"], t["v"], t["m"]
         number, running = value.isNotNull() | times.isNotNull(), F.size(s["run"]) > 0
         start = F.greatest(F.lit(0), s["pos"] - 10)
-        near = F.substring(text, start + 1, s["pos"] + F.length(word) + 30 - start).rlike(_IDIOM)
+        near = idiom & F.substring(text, start + 1, s["pos"] + F.length(word) + 30 - start).rlike(_IDIOM)
         folds = number & (running | ~near)
         counted = F.when(s["cur"] == 0, F.lit(1).cast("bigint")).otherwise(s["cur"])
         total = F.when(times.isNull(), s["total"]).when(times > s["total"], (s["total"] + counted) * times).otherwise(s["total"] + counted * times)
         pos = s["pos"] + F.length(word) + F.when(s["pos"] == 0, 0).otherwise(1)
-        return F.struct(
-            F.when(folds, s["out"]).when(running, F.concat(_closed(s), F.array(word))).otherwise(F.concat(s["out"], F.array(word))).alias("out"),
-            F.when(folds, F.concat(s["run"], F.array(word))).otherwise(empty).alias("run"),
-            F.when(folds, total).otherwise(F.lit(0).cast("bigint")).alias("total"),
-            F.when(folds, F.coalesce(value, F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias("cur"),
-            pos.cast("int").alias("pos"),
-        ).cast(_STATE)
+        state = lambda out, run, total, cur: F.struct(out.alias("out"), run.alias("run"), total.alias("total"), cur.alias("cur"), pos.cast("int").alias("pos")).cast(_STATE)
+        none, word_ = F.lit(0).cast("bigint"), F.array(word)
+        return (
+            F.when(folds, state(s["out"], F.concat(s["run"], word_), total, F.coalesce(value, none)))
+            .when(running, state(F.concat(_closed(s), word_), empty, none, none))
+            .otherwise(state(F.concat(s["out"], word_), empty, none, none))
+        )
 
     tokens = F.transform(tokenize(text), lambda w: F.struct(w.alias("w"), small[w].alias("v"), multipliers[w].alias("m")))
     first = F.struct(empty.alias("out"), empty.alias("run"), F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("cur"), F.lit(0).alias("pos")).cast(_STATE)

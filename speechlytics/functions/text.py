@@ -44,3 +44,13 @@ def slug(label: Column) -> Column:
 
 def bar(percent: Column) -> Column:
     return F.repeat(F.lit("█"), F.floor(percent / 2).cast("int"))
+
+
+def wrap(text: Column, width: int = 75) -> Column:
+    """Lines of at most ``width`` characters, broken between words; a longer word has a line of its own."""
+    def step(lines: Column, word: Column) -> Column:
+        last = F.element_at(lines, -1)
+        fits = F.length(last) + 1 + F.length(word) <= width
+        return F.when(F.size(lines) == 0, F.array(word)).when(fits, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat(last, F.lit(" "), word)))).otherwise(F.concat(lines, F.array(word)))
+
+    return F.aggregate(tokenize(text), F.array().cast("array<string>"), step)

@@ -9,12 +9,11 @@ from ..functions.text import strip
 
 SHORTEST, LONGEST = 1.0, 30.0
 SEGMENT = "array<struct<text:string,start:double,end:double>>"
-_BUCKET = r"joshtalks-data-collection/hq_data/hi/(\d+)/(.+)"
 
 
-def fallback_url(url: Column, host: str) -> Column:
-    """The same recording under another bucket; null for URLs of another form."""
-    return F.when(url.rlike(_BUCKET), F.concat(F.lit(host), F.regexp_extract(url, _BUCKET, 1), F.lit("/"), F.regexp_extract(url, _BUCKET, 2)))
+def fallback_url(url: Column, host: str, pattern: str) -> Column:
+    """The same recording under another host; null for URLs that ``pattern`` isn't in. Its two groups are the path kept."""
+    return F.when(url.rlike(pattern), F.concat(F.lit(host), F.regexp_extract(url, pattern, 1), F.lit("/"), F.regexp_extract(url, pattern, 2)))
 
 
 def sibling_urls(transcription: Column) -> Column:
@@ -62,3 +61,26 @@ def peak_normalize(signal: Column, peak: float = 0.95) -> Column:
 def duration_stats(df: DataFrame, col: str = "duration_s") -> DataFrame:
     d = F.col(col)
     return df.agg(F.count("*").alias("n"), F.sum(d).alias("total_s"), (F.sum(d) / 3600).alias("hours"), F.avg(d).alias("mean_s"), F.median(d).alias("median_s"), F.min(d).alias("min_s"), F.max(d).alias("max_s"))
+
+
+def usable(signal: Column, rate: int, shortest: float = SHORTEST, longest: float = LONGEST) -> Column:
+    """Whether a slice (or what trimming left of it) holds samples and lasts as long as a segment may."""
+    return (F.size(signal) > 0) & (F.size(signal) / rate).between(shortest, longest)
+
+
+def with_files(df: DataFrame, files: DataFrame, *columns: str) -> DataFrame:
+    """The rows all of whose ``columns`` name a file of the one-column listing ``files``."""
+    listed = files.toDF("_file").distinct()
+    for c in columns:
+        df = df.join(listed, df[c] == listed["_file"], "left_semi")
+    return df
+
+
+def outcomes(df: DataFrame, ok: Column, *by: str) -> DataFrame:
+    """How many rows succeeded and how many failed; a null counts as failed."""
+    return df.groupBy(*by).agg(F.count_if(F.coalesce(ok, F.lit(False))).alias("succeeded"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed"))
+
+
+def json_schema(json: Column) -> Column:
+    """The schema of a JSON text, as a type."""
+    return F.schema_of_variant(F.parse_json(json))

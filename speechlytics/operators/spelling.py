@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import let, mostly_devanagari, pure_devanagari, strip
 
+# Character sets of the rules, here and below; and the reasons that they give.
 VOWELS, SIGNS, NASALS = "अआइईउऊऋएऐओऔ", "ािीुूृेैोौॅॉ", "ंँः"
 CONSONANTS = "कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह"
 
@@ -81,8 +82,8 @@ def classify(words: DataFrame, dictionary: DataFrame, col: str | None = None, su
 
 def counts(verdicts: DataFrame, col: str) -> DataFrame:
     """Rows by value, and their share in percent."""
-    total = verdicts.agg(F.count("*").alias("total"))
-    return verdicts.groupBy(col).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"))
+    n = F.count("*")
+    return verdicts.groupBy(col).agg(n.alias("n")).select(col, "n", (F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy())).alias("percent"))
 
 
 def crosstab(verdicts: DataFrame) -> DataFrame:

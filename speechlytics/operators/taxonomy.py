@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, tokenize
 
+# Fixed value: vowel signs and nasals.
 MATRAS = "[ािीुूेैोौंःँृ]"
 # Number words and loanwords that the labels look for.
 NUMBER_WORDS = "एक दो तीन चार पांच छह सात आठ नौ दस सौ हजार लाख करोड़"
@@ -65,20 +66,21 @@ def _labels(r: Column, h: Column) -> Column:
 
 def histogram(df: DataFrame, labels: str = "labels") -> DataFrame:
     """Rows by label, and their share of all rows in percent."""
-    total = df.agg(F.count("*").alias("samples"))
-    counts = df.select(F.explode(labels).alias("category")).groupBy("category").agg(F.count("*").alias("occurrences"))
-    return counts.crossJoin(F.broadcast(total)).select("category", "occurrences", (F.col("occurrences") * 100.0 / F.col("samples")).alias("percent"))
+    each = df.select(F.posexplode(labels).alias("place", "category"))
+    counts = each.groupBy("category").agg(F.count("*").alias("occurrences"), F.count_if(F.col("place") == 0).alias("firsts"))
+    # Every row has a first label; the window runs over one row for each label.
+    return counts.select("category", "occurrences", (F.col("occurrences") * 100.0 / F.sum("firsts").over(Window.partitionBy())).alias("percent"))
 
 
-def top_fixes(df: DataFrame, k: int = 3, labels: str = "labels", order: str = "id") -> DataFrame:
-    """The k most frequent labels (ties: first seen by ``order``, then the label's place) with their proposed fixes."""
+def top_fixes(df: DataFrame, k: int = 3, labels: str = "labels", order: str = "id", details: dict[str, str] | None = None) -> DataFrame:
+    """The k most frequent labels (ties: first seen by ``order``, then the label's place) with their proposed fixes and, where given, ``details`` of these by label."""
     spark = df.sparkSession
-    fixes = spark.createDataFrame(list(FIXES.items()), "category string, proposed_fix string")
+    fixes = spark.createDataFrame([(c, f, (details or {}).get(c)) for c, f in FIXES.items()], "category string, proposed_fix string, implementation_detail string")
     seen = df.select(F.col(order).alias("_o"), F.posexplode(labels).alias("_p", "category"))
     counts = seen.groupBy("category").agg(F.count("*").alias("occurrences"), F.min(F.struct("_o", "_p")).alias("_first"))
     top = counts.orderBy(F.desc("occurrences"), "_first").limit(k)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("occurrences"), "_first")))
-    return top.join(F.broadcast(fixes), "category", "left").select("rank", "category", "occurrences", F.coalesce("proposed_fix", F.lit("N/A")).alias("proposed_fix"))
+    return top.join(F.broadcast(fixes), "category", "left").select("rank", "category", "occurrences", F.coalesce("proposed_fix", F.lit("N/A")).alias("proposed_fix"), *(["implementation_detail"] if details else []))
 
 
 def examples(df: DataFrame, k: int = 5, labels: str = "labels", order: str = "id") -> DataFrame:

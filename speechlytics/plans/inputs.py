@@ -11,7 +11,7 @@ MODELS = 6
 #: Syllables that Devanagari test words are made of.
 SYLLABLES = "क|का|मि|री|सु|ने|हो|पा|जि|ल|था|दे"
 #: Loanword sentences by remainder.
-SENTENCES = "मेरा इंटरव्यू बहुत अच्छा गया|कंप्यूटर पर ऑनलाइन क्लास चल रही है|इस प्रोजेक्ट की रिपोर्ट, कल submit करनी है|e-mail भेजो"
+SENTENCES = "नई वेबसाइट कल खुलेगी|टीवी पर वीडियो देखना ठीक नहीं|यह लैपटॉप और वह सर्वर, दोनों broken हैं|check-in कब होगा"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,16 +72,17 @@ def hindi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(recording_id, json): a segment from each event, as text."""
-    e = read(spark, sf_dir, "events")
+    """(recording_id, json): one to three segments from each event, as text; a single one is not always in a list."""
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
     start = F.round("value", 2)
-    text = F.when(F.col("event_id") % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
-    one = F.to_json(F.struct(text.alias("text"), start.alias("start"), F.round(start + F.col("event_id") % 40, 2).alias("end")))
-    return e.select(F.col("event_id").alias("recording_id"), F.when(F.col("event_id") % 2 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]"))).alias("json"))
+    text = lambda i: F.when((k + i) % 13 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    one = lambda i: F.struct(text(i).alias("text"), F.round(start + i, 2).alias("start"), F.round(start + i + (k + 7 * i) % 40, 2).alias("end"))
+    several = F.to_json(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), one))
+    return e.select(k.alias("recording_id"), F.when(k % 6 == 0, F.to_json(one(F.lit(0)))).otherwise(several).alias("json"))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording catalog from orders."""
     k = F.col("o_orderkey").cast("string")
-    base = F.when(F.col("o_orderkey") % 5 == 0, F.lit("https://example.org/other/")).otherwise(F.concat(F.lit("https://example.org/joshtalks-data-collection/hq_data/hi/"), F.col("o_custkey").cast("string"), F.lit("/")))
+    base = F.when(F.col("o_orderkey") % 5 == 0, F.lit("https://example.org/other/")).otherwise(F.concat(F.lit("https://example.org/recordings/hi/"), F.col("o_custkey").cast("string"), F.lit("/")))
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("recording_id"), F.concat(base, k, F.lit("_audio.wav")).alias("rec_url_gcp"), F.concat(base, k, F.lit("_transcription.json")).alias("transcription_url_gcp"), F.col("o_totalprice").alias("duration_s"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from ..functions import lexicon
 from ..operators import sampling, spelling, taxonomy
 from . import inputs
-from .queries import BUCKET
+from .queries import BACKUP, FIX_DETAILS
 
 _PAIRS = r"""
 base AS (SELECT item_id AS id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS ref FROM benchmark),
@@ -119,9 +119,10 @@ verdicts AS (SELECT word, v[1] AS classification, v[2] AS confidence, v[3] AS re
 )
 _UNIT = "string_split('" + " ".join(w.split("/")[0] for w in lexicon.NUMBERS.split()) + "', ' ')"
 _FAR = "और फिर बहुत देर के बाद हम सब घर लौटे"
-_TAGGED = "split_part('मेरा [EN]इंटरव्यू[/EN] बहुत अच्छा गया|कंप्यूटर पर [EN]ऑनलाइन[/EN] क्लास चल रही है|इस [EN]प्रोजेक्ट[/EN] की [EN]रिपोर्ट[/EN], कल [EN]submit[/EN] करनी है|e-mail भेजो', '|', (event_id % 4 + 1)::INT)"
-_SEGMENTS = "segs AS (SELECT event_id, CASE WHEN event_id % 13 = 0 THEN '  ' ELSE ' ' || event_type || ' ' END AS text, round(value, 2) AS s, round(round(value, 2) + event_id % 40, 2) AS e FROM events)"
-_CATALOG = "cat AS (SELECT o_orderkey AS recording_id, CASE WHEN o_orderkey % 5 = 0 THEN 'https://example.org/other/' ELSE 'https://example.org/joshtalks-data-collection/hq_data/hi/' || o_custkey || '/' END AS root, o_totalprice AS duration_s FROM orders)"
+_SPELLED = f"CASE WHEN event_id % 900 + 1 >= 100 THEN {_UNIT}[(event_id % 900 + 1) // 100 + 1] || ' सौ' || CASE WHEN (event_id % 900 + 1) % 100 > 0 THEN ' ' ELSE '' END ELSE '' END || CASE WHEN (event_id % 900 + 1) % 100 > 0 THEN {_UNIT}[(event_id % 900 + 1) % 100 + 1] ELSE '' END"
+_TAGGED = "split_part('नई [EN]वेबसाइट[/EN] कल खुलेगी|टीवी पर [EN]वीडियो[/EN] देखना ठीक नहीं|यह [EN]लैपटॉप[/EN] और वह [EN]सर्वर[/EN], दोनों [EN]broken[/EN] हैं|check-in कब होगा', '|', (event_id % 4 + 1)::INT)"
+_SEGMENTS = "parts AS (SELECT *, unnest(range(0, event_id % 3 + 1)) AS i FROM events), segs AS (SELECT event_id, i::INT AS i, CASE WHEN (event_id + i) % 13 = 0 THEN '  ' ELSE ' ' || event_type || ' ' END AS text, round(round(value, 2) + i, 2) AS s, round(round(value, 2) + i + (event_id + 7 * i) % 40, 2) AS e FROM parts)"
+_CATALOG = "cat AS (SELECT o_orderkey AS recording_id, CASE WHEN o_orderkey % 5 = 0 THEN 'https://example.org/other/' ELSE 'https://example.org/recordings/hi/' || o_custkey || '/' END AS root, o_totalprice AS duration_s FROM orders)"
 
 ORACLE = {
     "wer_per_sample": f"WITH {_PAIRS} SELECT id, k, words, errors, round(wer_percent, 6) AS wer_percent FROM errors",
@@ -133,7 +134,7 @@ ORACLE = {
     "sample_ids": f"WITH {_SAMPLED} SELECT row_number() OVER (ORDER BY place, wer_percent, id)::INT AS sample_id, id FROM sampled",
     "error_taxonomy": f"WITH {_TAXONOMY} SELECT id, array_to_string(labels, ' | ') AS error_categories FROM labelled",
     "taxonomy_histogram": f"WITH {_TAXONOMY} SELECT category, count(*) AS occurrences, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM labelled), 6) AS percent FROM each GROUP BY 1",
-    "top3_fixes": f"WITH {_TAXONOMY}, tops AS (SELECT category, count(*) AS occurrences, min((id, place)) AS f FROM each GROUP BY 1), fixes AS (SELECT * FROM (VALUES {', '.join(str(x) for x in taxonomy.FIXES.items())}) t(category, proposed_fix)) SELECT row_number() OVER (ORDER BY occurrences DESC, f)::INT AS rank, category, occurrences, proposed_fix FROM tops JOIN fixes USING (category) ORDER BY 1 LIMIT 3",
+    "top3_fixes": f"WITH {_TAXONOMY}, tops AS (SELECT category, count(*) AS occurrences, min((id, place)) AS f FROM each GROUP BY 1), fixes AS (SELECT * FROM (VALUES {', '.join(str((c, f, FIX_DETAILS[c])) for c, f in taxonomy.FIXES.items())}) t(category, proposed_fix, implementation_detail)) SELECT row_number() OVER (ORDER BY occurrences DESC, f)::INT AS rank, category, occurrences, proposed_fix, implementation_detail FROM tops JOIN fixes USING (category) ORDER BY 1 LIMIT 3",
     "category_examples": f"WITH {_TAXONOMY}, numbered AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY id)::INT AS n, id FROM each) SELECT * FROM numbered WHERE n <= 5",
     "word_diff": f"WITH {_HINDI}, t AS (SELECT id, string_split(ref, ' ') AS r, string_split(hyp, ' ') AS h FROM hindi) SELECT id, array_to_string(list_sort(list_distinct(list_filter(h, lambda w: NOT list_contains(r, w)))), ' ') AS added, array_to_string(list_sort(list_distinct(list_filter(r, lambda w: NOT list_contains(h, w)))), ' ') AS deleted FROM t",
     "number_roundtrip": "SELECT l_orderkey, l_linenumber, floor(l_extendedprice)::BIGINT::VARCHAR AS digits FROM lineitem",
@@ -154,10 +155,10 @@ ORACLE = {
     "spell_review_sample": f"WITH {_VERDICTS} SELECT word, reason FROM verdicts WHERE confidence = 'LOW' ORDER BY md5(word), word LIMIT 50",
     "spell_high_incorrect": f"WITH {_VERDICTS} SELECT word, reason FROM verdicts WHERE classification = 'INCORRECT' AND confidence = 'HIGH'",
     "dictionary_union": f"WITH {_DICTIONARY} SELECT word FROM known",
-    "json_segments": f"WITH {_SEGMENTS} SELECT event_id AS recording_id, 0 AS pos, text, s AS start FROM segs",
-    "segment_gate": f"WITH {_SEGMENTS} SELECT event_id || '_seg0000.wav' AS audio, trim(text) AS sentence, round(e - s, 2) AS duration_s FROM segs WHERE trim(text) <> '' AND e - s BETWEEN 1.0 AND 30.0",
+    "json_segments": f"WITH {_SEGMENTS} SELECT event_id AS recording_id, i AS pos, text, s AS start FROM segs",
+    "segment_gate": f"WITH {_SEGMENTS} SELECT event_id || '_seg000' || i || '.wav' AS audio, trim(text) AS sentence, round(e - s, 2) AS duration_s FROM segs WHERE trim(text) <> '' AND e - s BETWEEN 1.0 AND 30.0",
     "segment_stats": f"WITH {_CATALOG} SELECT count(*) AS n, round(sum(duration_s), 4) AS total_s, round(sum(duration_s) / 3600, 4) AS hours, round(avg(duration_s), 4) AS mean_s, round(median(duration_s), 4) AS median_s, round(min(duration_s), 4) AS min_s, round(max(duration_s), 4) AS max_s FROM cat",
-    "url_fallback": f"WITH {_CATALOG} SELECT recording_id, CASE WHEN contains(root, 'hq_data') THEN '{BUCKET}' || replace(root, 'https://example.org/joshtalks-data-collection/hq_data/hi/', '') || recording_id || '_audio.wav' END AS url FROM cat",
+    "url_fallback": f"WITH {_CATALOG} SELECT recording_id, CASE WHEN contains(root, 'recordings') THEN '{BACKUP}' || replace(root, 'https://example.org/recordings/hi/', '') || recording_id || '_audio.wav' END AS url FROM cat",
     "sibling_urls": f"WITH {_CATALOG} SELECT recording_id, root || recording_id || '.wav ' || root || recording_id || '.mp3 ' || root || recording_id || '_metadata.json' AS urls FROM cat",
     "download_tasks": f"WITH {_CATALOG}, kinds AS (SELECT * FROM (VALUES ('audio', '_audio.wav'), ('transcription', '_transcription.json')) t(label, tail)) SELECT recording_id, root || recording_id || tail AS url, recording_id || tail AS dest, label FROM cat, kinds",
     "peak_normalize": "WITH e AS (SELECT vec_id, embedding AS x, list_max(list_transform(embedding, lambda v: abs(v::DOUBLE))) AS top FROM embeddings) SELECT vec_id, unnest(range(0, len(x)))::INT AS pos, round(unnest(list_transform(x, lambda v: CASE WHEN top > 0 THEN v::DOUBLE / top * 0.95::DOUBLE ELSE v::DOUBLE END)), 6) AS sample FROM e",
@@ -165,4 +166,19 @@ ORACLE = {
     "train_eval_split": "SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 6))::BIGINT % 100 < 90 THEN 'train' ELSE 'test' END AS split FROM orders",
     "script_filters": f"WITH {_WORDS} SELECT id, {_MOSTLY} AS mostly, {_PURE} AS pure FROM words",
     "display_columns": "WITH c AS (SELECT c_custkey, c_mktsegment, c_name || ' ' || c_mktsegment || ' segment text' AS t FROM customer) SELECT c_custkey, CASE WHEN length(t) > 35 THEN substr(t, 1, 33) || '…' ELSE t END AS short, 'model_' || replace(lower(c_mktsegment), ' ', '_') AS slug, repeat('█', (c_custkey % 101) // 2) AS bar FROM customer JOIN c USING (c_custkey, c_mktsegment)",
+    "sql_functions": f"SELECT event_id, (event_id % 900 + 1) || ' [EN]स्टूडेंट[/EN] ने ' || {_TAGGED} AS processed, len(string_split({_SPELLED}, ' '))::INT AS errors FROM events",
+    "call_scalar": "SELECT '350 [EN]स्टूडेंट[/EN] आए' AS processed",
+    "download_outcomes": f"WITH {_CATALOG} SELECT recording_id % 3 AS part, count(*) FILTER (contains(root, 'recordings')) AS succeeded, count(*) FILTER (NOT contains(root, 'recordings')) AS failed FROM cat GROUP BY 1",
+    "recordings_with_files": "SELECT o_orderkey AS recording_id FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0",
+    "slice_gate": "WITH s AS (SELECT vec_id, greatest(0, least(len(embedding), trunc((vec_id % 9) / 2 * 8)::INT) - 2) AS n FROM embeddings) SELECT vec_id, n::INT AS samples, n > 0 AND n / 8 BETWEEN 0.5 AND 3.0 AS usable FROM s",
+    "json_schema": "SELECT event_id AS recording_id, event_id % 6 <> 0 AS is_list FROM events",
+    "wrapped": """WITH RECURSIVE w AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM benchmark),
+        walk AS (SELECT item_id, l, 1 AS p, 0 AS line, length(l[1]) AS used FROM w WHERE len(l) > 0
+                 UNION ALL SELECT item_id, l, p + 1, CASE WHEN used + 1 + length(l[p + 1]) <= 75 THEN line ELSE line + 1 END, CASE WHEN used + 1 + length(l[p + 1]) <= 75 THEN used + 1 + length(l[p + 1]) ELSE length(l[p + 1]) END FROM walk WHERE p < len(l))
+        SELECT item_id, line, (count(*) - 1)::INT AS spaces, max(used) <= 75 AS fits FROM walk GROUP BY item_id, line""",
+    "training_metric": "WITH t AS (SELECT l_partkey % 49 + 1 AS label, l_partkey % 49 + CASE WHEN l_suppkey % 5 = 0 THEN 2 ELSE 1 END AS g, l_orderkey, l_linenumber FROM lineitem), "
+    "u AS (SELECT *, CASE WHEN g > 49 THEN 1 ELSE g END AS guess FROM t), o AS (SELECT l_orderkey, list(label ORDER BY l_linenumber) AS ref, list(guess ORDER BY l_linenumber) AS hyp FROM u GROUP BY 1), "
+    "costs AS (SELECT *, list_transform(ref, lambda r: [list_transform(hyp, lambda h: (h <> r)::INT)]) AS cost FROM o), "
+    "d AS (SELECT len(ref) AS words, list_reduce(cost, lambda acc, x: list_append(acc, list_reduce(list_transform(range(1, len(hyp) + 1), lambda j: [j::INT]), lambda cur, jj: list_append(cur, least(cur[jj[1]] + 1, acc[-1][jj[1] + 1] + 1, acc[-1][jj[1]] + x[1][jj[1]])), [acc[-1][1] + 1])), [list_transform(range(0, len(hyp) + 1), lambda j: j::INT)])[-1][-1] AS errors FROM costs) "
+    "SELECT round(sum(errors) * 100.0::DOUBLE / sum(words), 6) AS wer FROM d",
 }

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexicon, text, wer
+from ..functions import registry, text, wer
 from ..functions.numbers import normalize_numbers, spell_number
 from ..functions.tagging import post_process as post_process_text
 from ..functions.tagging import tag_loanwords as tag
 from ..operators import ingest, lattice, sampling, spelling, taxonomy
 from . import inputs
 
+#: Details of fixes are the caller's; these stand for them.
+FIX_DETAILS = {label: f"see the notes on {label.lower()}" for label in taxonomy.FIXES}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-BUCKET = "https://example.org/upload_goai/"
+BACKUP = "https://example.org/backup/"
+#: User and file of a recording's URL.
+RECORDING = r"recordings/hi/(\d+)/(.+)"
 
 
 def query(f: Callable) -> Callable:
@@ -49,8 +53,9 @@ def wer_macro(spark, sf_dir):
 def wer_improvement(spark, sf_dir):
     """Each model against model 0: absolute and relative difference, the latter only if the baseline isn't 0."""
     rates = _errors(spark, sf_dir).groupBy("k").agg(wer.corpus_wer(F.col("errors"), F.col("words")).alias("wer"))
-    base = rates.where("k = 0").select(F.col("wer").alias("base"))
-    return rates.where("k > 0").crossJoin(F.broadcast(base)).select("k", F.round(F.col("base") - F.col("wer"), 6).alias("absolute"), F.round((F.col("base") - F.col("wer")) / F.nullif(F.col("base"), F.lit(0.0)) * 100, 6).alias("relative"))
+    base = F.max(F.when(F.col("k") == 0, F.col("wer"))).over(Window.partitionBy())  # over one row for each model
+    rates = rates.withColumn("base", base).where("k > 0")
+    return rates.select("k", F.round(F.col("base") - F.col("wer"), 6).alias("absolute"), F.round((F.col("base") - F.col("wer")) / F.nullif(F.col("base"), F.lit(0.0)) * 100, 6).alias("relative"))
 
 
 def _predictions(spark, sf_dir):
@@ -89,7 +94,7 @@ def taxonomy_histogram(spark, sf_dir):
 
 @query
 def top3_fixes(spark, sf_dir):
-    return taxonomy.top_fixes(_labelled(spark, sf_dir))
+    return taxonomy.top_fixes(_labelled(spark, sf_dir), details=FIX_DETAILS)
 
 
 @query
@@ -233,7 +238,7 @@ def segment_stats(spark, sf_dir):
 
 @query
 def url_fallback(spark, sf_dir):
-    return inputs.catalog(spark, sf_dir).select("recording_id", ingest.fallback_url(F.col("rec_url_gcp"), BUCKET).alias("url"))
+    return inputs.catalog(spark, sf_dir).select("recording_id", ingest.fallback_url(F.col("rec_url_gcp"), BACKUP, RECORDING).alias("url"))
 
 
 @query
@@ -274,3 +279,61 @@ def display_columns(spark, sf_dir):
     rows = inputs.read(spark, sf_dir, "customer")
     percent = F.col("c_custkey") % 101
     return rows.select("c_custkey", text.truncate(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit(" segment text")), 35, 33).alias("short"), text.slug(F.concat(F.lit("Model ("), "c_mktsegment", F.lit(")"))).alias("slug"), text.bar(percent).alias("bar"))
+
+
+@query
+def sql_functions(spark, sf_dir):
+    """The text functions called from SQL."""
+    registry.register(spark)
+    sentence = F.concat(spell_number(F.col("event_id") % 900 + 1), F.lit(" स्टूडेंट ने "), _sentence())
+    rows = inputs.read(spark, sf_dir, "events").select("event_id", sentence.alias("text"))
+    return spark.sql("SELECT event_id, post_process(text) AS processed, word_errors(text, normalize_numbers(text)) AS errors FROM {rows}", rows=rows)
+
+
+@query
+def call_scalar(spark, sf_dir):
+    """One text given by hand."""
+    return registry.call(spark, "post_process", "तीन सौ पचास स्टूडेंट आए").toDF("processed")
+
+
+@query
+def download_outcomes(spark, sf_dir):
+    rows = inputs.catalog(spark, sf_dir).select(F.col("rec_url_gcp").contains("recordings").alias("ok"), (F.col("recording_id") % 3).alias("part"))
+    return ingest.outcomes(rows, F.col("ok"), "part")
+
+
+@query
+def recordings_with_files(spark, sf_dir):
+    tasks = ingest.download_tasks(inputs.catalog(spark, sf_dir))
+    listing = tasks.where("recording_id % 7 <> 0 and not (label = 'audio' and recording_id % 11 = 0)").select("dest")
+    wide = inputs.catalog(spark, sf_dir).select("recording_id", F.concat(F.col("recording_id").cast("string"), F.lit("_audio.wav")).alias("audio"), F.concat(F.col("recording_id").cast("string"), F.lit("_transcription.json")).alias("json"))
+    return ingest.with_files(wide, listing, "audio", "json").select("recording_id")
+
+
+@query
+def slice_gate(spark, sf_dir):
+    part = ingest.slice_samples(F.col("embedding"), F.lit(0.25), (F.col("vec_id") % 9) / 2, 8)
+    return inputs.read(spark, sf_dir, "embeddings").select("vec_id", F.size(part).alias("samples"), ingest.usable(part, 8, 0.5, 3.0).alias("usable"))
+
+
+@query
+def json_schema(spark, sf_dir):
+    rows = inputs.segments(spark, sf_dir)
+    return rows.select("recording_id", ingest.json_schema(F.col("json")).startswith("ARRAY").alias("is_list"))
+
+
+@query
+def wrapped(spark, sf_dir):
+    rows = inputs.read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.wrap(F.coalesce("text", F.lit("")))).alias("line", "words"))
+    return rows.select("item_id", "line", F.regexp_count("words", F.lit(" ")).alias("spaces"), (F.length("words") <= 75).alias("fits"))
+
+
+@query
+def training_metric(spark, sf_dir):
+    """Token ids by line item; every ninth label is to be ignored."""
+    vocabulary = F.array(*(F.lit(f" w{k}" if k else "") for k in range(50)))
+    ids = inputs.read(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") == 9, -100).otherwise((F.col("l_partkey") % 49 + 1).cast("int")).alias("label"), (F.col("l_partkey") % 49 + F.when(F.col("l_suppkey") % 5 == 0, 2).otherwise(1)).cast("int").alias("guess"), "l_linenumber")
+    ids = ids.withColumn("guess", F.when(F.col("guess") > 49, 1).otherwise(F.col("guess")))
+    each = ids.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "label", "guess"))).alias("t"))
+    each = each.select(F.concat(F.transform("t", lambda x: x["label"]), F.array(F.lit(-100))).alias("labels"), F.concat(F.transform("t", lambda x: x["guess"]), F.array(F.lit(0))).alias("guesses"))
+    return each.agg(F.round(wer.training_wer(F.col("labels"), F.col("guesses"), vocabulary, 0), 6).alias("wer"))
