@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +87,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[Iterator[pa.RecordBatch], str], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs`` through an Arrow stage that drops rows; it gets batches and the text column's place-holder name. Column names may hold anything."""
+    safe = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    text = f"c{docs.columns.index(text_col)}"
+    return safe.mapInArrow(lambda batches: keep(batches, text), safe.schema).toDF(*docs.columns)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches
+from .common import discard, filtered, materialize, small_batches
 
 #: Word edits allowed: one in so many words of the item.
 WORDS_PER_EDIT = 5
@@ -168,13 +168,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     Null texts and texts without words stay; repeated rows go or stay together.
     """
-    names = docs.columns
-
     def clean(block):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
             find = finder(block.value)
-            for batch in small_batches(batches, text_col):
-                yield batch.filter(pa.array([not find(x) for x in batch.column(names.index(text_col)).to_pylist()], pa.bool_()))
+            for batch in small_batches(batches, text):
+                yield batch.filter(pa.array([not find(x) for x in batch.column(text).to_pylist()], pa.bool_()))
 
         return run
 
@@ -182,7 +180,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     several, blocks = _blocks(benchmark, item_col, item_text)
     for block in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(clean(sent), docs.schema)
+        out = filtered(out, text_col, clean(sent))
         if several:
             out = materialize(out, "clean")
             sent.destroy()

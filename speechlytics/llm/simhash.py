@@ -168,9 +168,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text
     prints = fingerprints(docs, id_col, text_col).where("_id is not null")
     found = join_by_key(prints, classes(prints, radius), ["fp"], "_n")
     gone = materialize(found.where(F.col("_id") != F.col("component_id")).select(F.col("_id").alias(id_col)).distinct(), "gone")
-    out = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    own = [f"`{c}`" for c in docs.columns]
+    out = docs.join(gone, id_col, "left_anti").select(*own)
     twice = prints.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_id").alias(id_col))
     if not twice.isEmpty():
         once = out.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col])
-        out = out.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        out = out.join(twice, id_col, "left_anti").select(*own).unionByName(once.select(*own))
     return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import filtered, small_batches, utf8
 from .labelled import fold, sample
 
 FOLDS, HELD_OUT = 5, 0
@@ -143,13 +143,11 @@ def drop_toxic(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
     Null and empty texts stay, unless the bias alone is toxic. Repeated rows go or stay together.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
-        for batch in small_batches(batches, text_col):
-            words, sentence, owner = sentences([(x or "").encode() for x in batch.column(at).to_pylist()])
+    def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text):
+            words, sentence, owner = sentences([(x or "").encode() for x in batch.column(text).to_pylist()])
             z = _logits(weights, words, sentence, len(owner))
             keep = -np.expm1(-np.bincount(owner, _softplus(z), minlength=batch.num_rows)) < THRESHOLD
             yield batch.filter(pa.array(keep))
 
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, text_col, run)

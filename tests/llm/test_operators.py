@@ -432,3 +432,156 @@ def test_pii_names_of_any_script(spark):
     attempts = {r.entity: r.attempt for r in pii.attempts(spark.createDataFrame([("surname", n.lower()) for n in names[:9]], "kind string, entity string"), KEY).collect()}
     assert max(attempts.values(), default=0) < pii.WIDEN
     assert len({pii.surrogate("surname", f"{chr(c)}伟", 0, KEY) for c in range(0x4E00, 0x9FFF)}) == 0x9FFF - 0x4E00
+
+
+def test_simhash_by_bits():
+    """The fingerprint as the contract words it: bit by bit."""
+    import xxhash
+
+    for text in ("a b c d e f a b c", "One two", "", "x " * 70, "Ä ö\u00a0ü ß é", *(f"{k} {k * k} {k ** 3} t" for k in range(20))):
+        words = [w for w in "".join(c.lower() if c.isascii() else c for c in text).replace("\t", " ").split(" ") if w]
+        parts = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] if words else []
+        hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) for p in parts]
+        assert simhash.fingerprint(text.encode()) == sum(1 << j for j in range(64) if sum(h >> j & 1 for h in hashes) * 2 > len(hashes))
+
+
+def families(seed, n, members, edits, size):
+    rng, texts, owner = random.Random(seed), [], []
+    for k in range(n):
+        passage = [f"w{rng.randrange(3000)}" for _ in range(size)]
+        for _ in range(members):
+            own = list(passage)
+            for _ in range(edits):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = [f"e{rng.randrange(10**6)}"] * rng.randrange(2)
+            around = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(80))] for _ in range(2)]
+            texts.append(" ".join([*around[0], *own, *around[1]]))
+            owner.append(k)
+    return texts, owner
+
+
+@pytest.mark.parametrize(("members", "edits", "size", "frequent"), [(15, 2, 100, None), (15, 1, 60, None), (3, 2, 80, None), (12, 0, 80, 8)])
+def test_substring_recall(spark, monkeypatch, members, edits, size, frequent):
+    """Of all pairs that hold a similar passage, near all are connected; also where values count as frequent and are split."""
+    if frequent:
+        monkeypatch.setattr(substring, "FREQUENT", frequent)
+        monkeypatch.setattr(substring, "ENDS", 2)
+        monkeypatch.setattr(substring, "BROADCAST_WANTED", 0)
+    texts, owner = families(members, 12, members, edits, size)
+    got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    hashes, _, starts = substring.shingles([t.encode() for t in texts])
+    own = [(hashes[a : b - substring.SHINGLE + 1] >> np.uint64(32)).astype(np.uint32) for a, b in itertools.pairwise(starts.tolist())]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if owner[i] == owner[j]]
+    true = {pairs[r[0]] for r in substring.verify([(own[i], own[j]) for i, j in pairs])}
+    label = list(range(len(texts)))
+    for r in got:
+        a, b = label[r.doc_id], label[r.other_id]
+        label = [a if x == b else x for x in label]
+    assert len(true) > 3 and sum(label[i] == label[j] for i, j in true) >= 0.95 * len(true)
+    assert len({x for p in true for x in p} & {r.doc_id for r in got}) >= 0.95 * len({x for p in true for x in p})
+    assert all(owner[r.doc_id] == owner[r.other_id] for r in got)
+
+
+def test_substring_copies(spark):
+    text, short = " ".join(f"u{k}" for k in range(60)), "too short to share"
+    df = spark.createDataFrame([(5, text), (2, text), (9, text), (9, text), (None, text), (7, short), (8, short)], "doc_id long, text string")
+    got = substring.passages(df).collect()
+    assert Counter((r.doc_id, r.other_id) for r in got) == Counter({(5, 2): 1, (2, 9): 1, (9, 2): 2, (None, 2): 1})
+    assert {(r.first_word, r.end_word, r.similarity) for r in got} == {(0, 60, 1.0)}
+
+
+def test_noisy_or_by_hand(spark):
+    rng = np.random.default_rng(3)
+    weights = np.append(rng.random(toxicity.HASHED) * 0.3, -3.0)
+    texts = ["Bad words here. And more of them!\nlast line", "one", "", None, "x " * 100]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), weights).collect()
+    for r in got:
+        clean = 1.0
+        for line in (texts[r.doc_id] or "").lower().replace("!", "!\n").replace(".", ".\n").split("\n"):
+            words = line.split()
+            for k in range(0, len(words), toxicity.LONGEST):
+                z = weights[-1]
+                for w in words[k : k + toxicity.LONGEST]:
+                    form = w.strip(".!").encode()
+                    z += weights[zlib.crc32(form) % toxicity.HASHED] + sum(weights[zlib.crc32(form[:n], n) % toxicity.HASHED] for n in toxicity.FIRST)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        if not (texts[r.doc_id] or "").split():
+            clean = 1 - 1 / (1 + math.exp(-weights[-1]))
+        assert r.score == pytest.approx(1 - clean)
+
+
+def test_decontaminate_by_brute_force(spark, monkeypatch):
+    """Against the edit distance of every stretch; in one block and in several."""
+    rng = random.Random(11)
+    words = [f"v{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([3, 10, 16])))) for k in range(12)]
+    texts = [(k, " ".join(rng.choices(words, k=rng.randrange(40)))) for k in range(25)]
+    for k in range(25, 45):
+        t = items[k % 12][1].split()
+        t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append((k, " ".join([*rng.choices(words, k=5), *t, *rng.choices(words, k=5)])))
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(p, 1):
+            new = [i]
+            for j, b in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row)
+
+    exp = {(d, i, e) for d, t in texts for i, p in items if (e := least(p.split(), t.split())) <= len(p.split()) // 5}
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, bench).collect()} == exp
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 6)
+    assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, bench).collect()} == exp
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {d for d, _ in texts} - {e[0] for e in exp}
+
+
+def test_other_branches_give_the_same_rows(spark, docs, monkeypatch):
+    """Joins instead of broadcasts, and every group frequent."""
+    from speechlytics.llm import common
+
+    key = lambda df: sorted(map(repr, df.collect()))
+    runs = {"dedup": lambda: exact_dedup.exact_dedup(docs), "mix": lambda: mixing.mix(docs), "take": lambda: mixing.take(docs), "near": lambda: simhash.near_duplicates(docs)}
+    before = {n: key(f()) for n, f in runs.items()}
+    for module, name, value in ((exact_dedup, "BROADCAST_SUSPECTS", 0), (exact_dedup, "FREQUENT", 1), (mixing, "BROADCAST_RULES", 0), (common, "FREQUENT", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert {n: key(f()) for n, f in runs.items()} == before
+
+
+def test_mix_sizes_by_sql(spark, docs):
+    import duckdb
+
+    got = mixing.mix(docs).toPandas()
+    rows = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    exp = duckdb.sql(r"WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM rows) SELECT doc_id, size, sum(size) OVER (PARTITION BY source) AS source_size FROM s").fetchall()
+    show = lambda rows: sorted((-1 if d is None or d != d else int(d), int(a), int(b)) for d, a, b in rows)
+    assert show(exp) == show(got[["doc_id", "size", "source_size"]].itertuples(index=False))
+
+
+def test_sample_ends_at_its_bytes(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('x', 100) AS text", "1 AS _label")
+    labels = docs.selectExpr("doc_id", "1 AS toxic")
+    got = toxicity.sample(docs, labels, "toxic", 100, 5, 0, most_bytes=1000)
+    assert got.count() == 10
+
+
+def test_shared_folder_is_named_on_a_cluster():
+    from speechlytics.llm import common
+
+    class Fake:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Fake)
