@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fitted(packed: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """``fit`` of the sample's rows, run in one task: the sample is bounded, and the driver only gets the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    got = packed.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])
+
+
 def fold(folds: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``folds``; -1 for a null id."""
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds, F.lit(-1)).cast("int")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8
-from .labelled import fold, sample
+from .labelled import fitted, fold, sample
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents that the model is fitted on, at most.
@@ -129,10 +129,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), pa.array(list(stats)), batch.column(3)], ["words", "stats", "_label"])
 
     rows = sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col, text_col, **_columns(text_col, chars_col)).select("_id", "_text", "_n", "_label")
-    got = rows.mapInArrow(run, "words binary, stats array<double>, _label int").toPandas()
-    got = got.sort_values(["words", "_label"], kind="stable")  # the order of the rows mustn't matter
-    words = [np.frombuffer(w, "<u2").astype(np.int64) for w in got["words"]]
-    return Machine().fit(words, np.array(got["stats"].tolist()).reshape(-1, STATS), got["_label"].to_numpy(np.float64))
+
+    def learn(rows: list[dict]) -> dict:
+        rows.sort(key=lambda r: (r["words"], r["_label"], r["stats"]))  # the order of the rows mustn't matter
+        words = [np.frombuffer(r["words"], "<u2").astype(np.int64) for r in rows]
+        return vars(Machine().fit(words, np.array([r["stats"] for r in rows]).reshape(-1, STATS), np.array([r["_label"] for r in rows], np.float64)))
+
+    machine = Machine()
+    vars(machine).update(fitted(rows.mapInArrow(run, "words binary, stats array<double>, _label int"), learn))
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filtered, small_batches, utf8
-from .labelled import fold, sample
+from .labelled import fitted, fold, sample
 
 FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the model is fitted on, at most.
@@ -100,11 +100,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
             yield pa.RecordBatch.from_arrays([*packed, pa.array([len(f[2]) for f in found], pa.int32()), batch.column(1)], ["words", "sentence", "n", "_label"])
 
     rows = sample(docs, labels, label, most, FOLDS, HELD_OUT, id_col, text_col, _text=utf8(text_col))
-    got = rows.select("_text", "_label").mapInArrow(bags, "words binary, sentence binary, n int, _label int").toPandas()
-    got = got.sort_values(["n", "words", "_label"], kind="stable")  # the order of the rows mustn't matter
-    # Views of what came, about 20 bytes a word: the driver holds nothing twice.
-    found = [(np.frombuffer(w, "<u4").reshape(-1, PER_WORD), np.frombuffer(s, "<u4"), range(n)) for w, s, n in zip(got["words"], got["sentence"], got["n"], strict=True)]
-    return fit(found, got["_label"].to_numpy())
+
+    def learn(rows: list[dict]) -> np.ndarray:
+        rows.sort(key=lambda r: (r["n"], r["words"], r["_label"]))  # the order of the rows mustn't matter
+        # Views of what came, about 20 bytes a word.
+        found = [(np.frombuffer(r["words"], "<u4").reshape(-1, PER_WORD), np.frombuffer(r["sentence"], "<u4"), range(r["n"])) for r in rows]
+        return fit(found, np.array([r["_label"] for r in rows]))
+
+    return fitted(rows.select("_text", "_label").mapInArrow(bags, "words binary, sentence binary, n int, _label int"), learn)
 
 
 def _score(weights: np.ndarray):
