@@ -144,8 +144,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     salted = held.join(parts, key, "left").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
     texts = held.groupBy(*key).agg(F.first("_text").alias("_same")).join(groups.where("group_size > 1").select(*key), key, "left_semi")
     texts = texts.join(parts, key, "left").select(*key, "_same", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt"))
-    differ = materialize(salted.join(texts, [*key, "_salt"]).where("_text <> _same").select(*key).distinct(), "differ")
-    if not differ.isEmpty():  # texts that share both hashes: grouped by their bytes
+    differ = salted.join(texts, [*key, "_salt"]).where("_text <> _same").select(*key)
+    if differ.count():  # texts that share both hashes: grouped by their bytes
+        differ = materialize(differ.distinct(), "differ")
         exact = held.join(differ, key, "left_semi").groupBy("_text", *key, "_id").agg(F.count("*").alias("_n"))
         # The text itself takes the place of its hash in the key.
         named = lambda df: df.withColumn("fp", F.concat(F.col("fp").cast("string"), F.lit(" "), "_text")).drop("_text")
