@@ -1,11 +1,12 @@
 """Sentence, spelling and WER fixtures with expected values."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from speechlytics.functions import numbers, registry, tagging, text, wer
+from speechlytics.functions import align, numbers, registry, tagging, text, wer
 from speechlytics.functions.align import align_words
 from speechlytics.operators import ingest, lattice, sampling, spelling, taxonomy
 
@@ -70,6 +71,43 @@ def test_alignment_holds_the_distance(ref, hyp):
     assert all(w in rest for w in kept)  # in order
 
 
+def plain_alignment(ref, hyp):
+    rows = [list(range(len(hyp) + 1))]
+    for i, r in enumerate(ref, 1):
+        row = [i]
+        for j, h in enumerate(hyp, 1):
+            row.append(min(rows[-1][j - 1] + (r != h), rows[-1][j] + 1, row[-1] + 1))
+        rows.append(row)
+    out, i, j = [""] * len(ref), len(ref), len(hyp)
+    while i:
+        if j and rows[i][j] == rows[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            out[i] = hyp[j]
+        elif rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.none() | words, st.none() | st.lists(st.none() | words, max_size=3)), max_size=8), st.sampled_from([1, 200, align.CELLS]))
+def test_alignment_of_a_batch(rows, cells):
+    kind = pa.list_(pa.string())
+    before, align.CELLS = align.CELLS, cells
+    try:
+        got = align.align_batch(pa.array([r for r, _ in rows], kind), pa.array([m for _, m in rows], pa.list_(kind))).to_pylist()
+    finally:
+        align.CELLS = before
+    assert got == [None if r is None or ms is None else [plain_alignment(r, m or []) for m in ms] for r, ms in rows]
+
+
+def test_alignment_of_long_texts():
+    ref = [str(k % 97) for k in range(3000)]
+    hyp = [w for k, w in enumerate(ref) if k % 10] + ["x"]
+    assert align_words(ref, hyp) == plain_alignment(ref, hyp)
+
+
 def test_lattice(spark):
     models = ["a x c", "a x c", "a x c", "a b c", "a y c", "a b"]
     df = spark.createDataFrame([("a b c", *models), ("", *models)], ["Human", *(f"Model {k}" for k in range(6))])
