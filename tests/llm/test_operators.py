@@ -482,6 +482,43 @@ def test_substring_recall(spark, monkeypatch, members, edits, size, frequent):
     assert all(owner[r.doc_id] == owner[r.other_id] for r in got)
 
 
+@pytest.mark.parametrize(("members", "edits", "size", "block"), [(100, 3, 60, None), (60, 2, 60, 16)])
+def test_substring_large_groups(spark, monkeypatch, members, edits, size, block):
+    """Every two windows of a value meet: whatever passage they hold, their texts are connected. Also in blocks."""
+    if block:
+        monkeypatch.setattr(substring, "BLOCK", block)
+    texts, owner = families(members, 3, members, edits, size)
+    hashes, text, starts = substring.shingles([t.encode() for t in texts])
+    stretch = lambda l, r: (hashes[l : r + 1] >> np.uint64(32)).astype(np.uint32)
+    groups = {}
+    for k in range(substring.HASHES):
+        values = substring._ranked(hashes, k)
+        for l, c, r in zip(*substring.windows(values), strict=True):
+            groups.setdefault((k, int(values[c])), []).append((int(text[c]), stretch(l, r)))
+    true = set()
+    for windows in (w for w in groups.values() if len(w) > 32):
+        pairs = [(a, b) if len(a[1]) <= len(b[1]) else (b, a) for a, b in itertools.combinations(windows, 2) if a[0] != b[0]]
+        true |= {(pairs[r[0]][0][0], pairs[r[0]][1][0]) for r in substring.verify([(a[1], b[1]) for a, b in pairs])}
+    got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    label = list(range(len(texts)))
+    for r in got:
+        a, b = label[r.doc_id], label[r.other_id]
+        label = [a if x == b else x for x in label]
+    assert len(true) > 100 and all(label[i] == label[j] for i, j in true)
+    assert {x for p in true for x in p} <= {r.doc_id for r in got}
+    assert all(owner[r.doc_id] == owner[r.other_id] for r in got)
+
+
+def test_substring_repeats(spark):
+    """Shingles that repeat inside a window; and links of small groups are all pairs."""
+    texts = ["la " * 70 + f"u{k} " * 3 + "x y z " * 30 for k in range(50)]
+    got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(50))
+    group, text = np.repeat(np.arange(4, 12, 4), 20).astype(np.uint64), np.tile(np.arange(20), 2)
+    links = substring.link([group, text, *(np.full(40, k, np.int32) for k in (0, 9, 50))])
+    assert Counter(zip(links[0].tolist(), links[1].tolist(), strict=True)) == Counter({p: 2 for p in itertools.combinations(range(20), 2)})
+
+
 def test_substring_copies(spark):
     text, short = " ".join(f"u{k}" for k in range(60)), "too short to share"
     df = spark.createDataFrame([(5, text), (2, text), (9, text), (9, text), (None, text), (7, short), (8, short)], "doc_id long, text string")
