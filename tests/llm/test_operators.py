@@ -509,6 +509,20 @@ def test_substring_large_groups(spark, monkeypatch, members, edits, size, block)
     assert all(owner[r.doc_id] == owner[r.other_id] for r in got)
 
 
+def test_substring_rows_follow_the_texts(spark):
+    """A passage that many texts hold connects them all by a few rows for each text."""
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage = fresh(70)
+    texts = [f"{fresh(60)} {passage} {fresh(60)}" for _ in range(200)]
+    got = substring.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    label = list(range(len(texts)))
+    for r in got:
+        a, b = label[r.doc_id], label[r.other_id]
+        label = [a if x == b else x for x in label]
+    assert len(set(label)) == 1 and len(got) < 8 * len(texts)
+
+
 def test_substring_repeats(spark):
     """Shingles that repeat inside a window; and links of small groups are all pairs."""
     texts = ["la " * 70 + f"u{k} " * 3 + "x y z " * 30 for k in range(50)]
