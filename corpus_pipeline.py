@@ -8,13 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from speechlytics.llm import decontaminate, mixing, sharding, simhash, toxicity
-from speechlytics.llm.common import materialize, table
+from speechlytics.llm.common import bound_batches, materialize, table
+
+#: Bytes of an Arrow batch of whole documents. Stages are lazy, so those that send documents to Python leave the session at this bound.
+BATCH_BYTES = 4 << 20
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
+    bound_batches(spark, BATCH_BYTES)
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -25,6 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its edit budget go."""
+    bound_batches(spark, BATCH_BYTES)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -47,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = materialize(stage(spark, docs, sf_dir), name, BATCH_BYTES)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,8 @@ FIRST = (4, 5, 6)
 PER_WORD = 1 + len(FIRST)
 #: A sentence ends at . ! ? or a line's end, and after so many words at the latest.
 LONGEST = 40
+#: Bytes of text that are scored at a time while rows are dropped: a worker holds many times as much, and keeps it.
+PART = 1 << 20
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LINE = b"\x01"
 _SCHEMA = "_id {}, score double, offending array<struct<first_word:int,words:int,score:double>>"
@@ -147,7 +149,7 @@ def drop_toxic(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, PART):
             words, sentence, owner = sentences([(x or "").encode() for x in batch.column(text).to_pylist()])
             z = _logits(weights, words, sentence, len(owner))
             keep = -np.expm1(-np.bincount(owner, _softplus(z), minlength=batch.num_rows)) < THRESHOLD
