@@ -533,6 +533,39 @@ def test_substring_repeats(spark):
     assert Counter(zip(links[0].tolist(), links[1].tolist(), strict=True)) == Counter({p: 2 for p in itertools.combinations(range(20), 2)})
 
 
+def test_substring_comparisons(monkeypatch):
+    """Windows of frequent values: links connect what brute force over all pairs does, and few pairs need be verified for it."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    rows, groups = [], [120, 70, *[5] * 20, 1]
+    for g, members in enumerate(groups):
+        passage, line = fresh(70), fresh(42)
+        for t in range(members):
+            own = np.concatenate((fresh(rng.integers(30)), passage if t % 3 else np.concatenate((fresh(30), line)), fresh(rng.integers(30))))
+            own[rng.integers(0, len(own), t % 9)] = fresh(t % 9)
+            rows.append((4 * g + 4, 1000 * g + t, 0, own))
+    rows.append((4 * len(groups), rows[-1][1], 9, rows[-1][3]))  # a second window of the same text
+    group, text, l, stretches = zip(*rows, strict=True)
+    l, widths = np.array(l), np.array([len(s) for s in stretches])
+    columns = [np.array(group, np.uint64), np.array(text), l, l, l + widths - 1]
+    asked, verify = [], substring.verify
+    monkeypatch.setattr(substring, "verify", lambda pairs, *a, **k: asked.extend(pairs) or verify(pairs, *a, **k))
+    links = substring._similar([len(rows).to_bytes(4, "little") + substring._pack(columns, substring._WINDOW) + b"".join(s.tobytes() for s in stretches)])
+
+    def components(pairs):
+        label = {t: t for t in text}
+        for i, j in pairs:
+            a, b = label[i], label[j]
+            label = {t: min(a, b) if x in (a, b) else x for t, x in label.items()}
+        return label
+
+    pairs = [(a, b) if len(a[3]) <= len(b[3]) else (b, a) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[1] != b[1]]
+    true = [(pairs[r[0]][0][1], pairs[r[0]][1][1]) for r in verify([(a[3], b[3]) for a, b in pairs])]
+    found = list(zip(links[0].tolist(), links[1].tolist(), strict=True))
+    assert len(true) > 1000 and components(found) == components(true)
+    assert len(found) == len(text) - 1 - len(set(components(true).values())) and len(asked) < 1.5 * len(found)
+
+
 def test_substring_copies(spark):
     text, short = " ".join(f"u{k}" for k in range(60)), "too short to share"
     df = spark.createDataFrame([(5, text), (2, text), (9, text), (9, text), (None, text), (7, short), (8, short)], "doc_id long, text string")
